@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,27 @@ def local_session(cores: int = 8, shuffle: int = 8) -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application; nothing need be installed on them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here, out = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="docketeer-code-")
+    shutil.copytree(here, f"{out}/code/{here.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{out}/{here.name}", "zip", f"{out}/code"))
+    shutil.rmtree(f"{out}/code")
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose function may use this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
