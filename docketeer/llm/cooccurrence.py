@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.runtime import cut
+from docketeer.runtime import cut, map_arrow
 
 #: A document's list is handed out in runs of this many stripe heads, so that one huge document spreads over many tasks.
 HEADS = 256
@@ -109,8 +109,8 @@ def associations(mentions: DataFrame, min_docs: int = 5, min_lift: float = 3.0,
     kept = sizes.where((F.col("n_i") >= min_docs) & (F.col("n_i") * F.lit(float(min_lift)) <= F.lit(n)))
     lists = seen.join(kept.select("i"), "i").groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("items")).where(F.size("items") > 1)
     heads = lists.select("items", F.explode(F.sequence(F.lit(0), F.size("items") - 2, F.lit(HEADS))).alias("first"))
-    stripes = heads.mapInArrow(_stripes, "a string, block int, bs array<string>, cs array<bigint>")
-    merged = stripes.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(_merge(min_docs), "a string, b string, n_ab bigint")
+    stripes = map_arrow(heads, _stripes, "a string, block int, bs array<string>, cs array<bigint>")
+    merged = map_arrow(stripes.repartition("a", "block").sortWithinPartitions("a", "block"), _merge(min_docs), "a string, b string, n_ab bigint")
     scored = (
         merged.join(kept.select(F.col("i").alias("a"), F.col("n_i").alias("n_a")), "a")
         .join(kept.select(F.col("i").alias("b"), F.col("n_i").alias("n_b")), "b")

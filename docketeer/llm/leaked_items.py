@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketeer.runtime import map_arrow
+
 #: Words in a pattern. A passage of 15 words or more of which MATCHED agree always has a run of five equal words:
 #: with e unequal places there are e + 1 runs, and (n - e) / (e + 1) is above 4 for every n from 15 on.
 WINDOW = 5
@@ -138,6 +140,6 @@ def find_passages(documents: DataFrame, items: DataFrame, min_words: int = 15, d
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())] + [pa.array(c, pa.int32()) for c in cols[2:]], names=["doc_id", "item_id", "matched", "item_start", "item_words", "doc_words"])
 
-        part = texts.mapInArrow(run, "doc_id bigint, item_id bigint, matched int, item_start int, item_words int, doc_words int")
+        part = map_arrow(texts, run, "doc_id bigint, item_id bigint, matched int, item_start int, item_words int, doc_words int")
         found = part if found is None else found.unionByName(part)
     return found.distinct()

@@ -12,6 +12,12 @@ from docketeer.runtime import table
 TIES = ("repeats", "supports", "derives_from")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from docketeer.llm.name_links import link_names
+
+    return link_names(table(spark, d, "entities"), table(spark, d, "extracted_entities"), table(spark, d, "mentions")).select("id_a", "id_b")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from docketeer.llm.cooccurrence import associations
 
@@ -69,6 +75,20 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return find_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from docketeer.llm.subjects import subjects
+
+    return subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What the corpus is made of: documents and sentences of each subject."""
+    from docketeer.llm.subjects import subject_shares
+
+    shares = subject_shares(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+    return shares.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("p") and name[1].isdigit()}
 

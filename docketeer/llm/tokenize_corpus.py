@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketeer.runtime import map_arrow
+
 #: Fixed value: the pre-splitting pattern that belongs to the rank file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_RANKS = os.environ.get("DOCKETEER_RANK_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -86,7 +88,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_f
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id_", "ids"])
 
-    return rows.mapInArrow(run, f"id_ {kind.simpleString()}, ids array<int>").withColumnRenamed("id_", id_col)
+    return map_arrow(rows, run, f"id_ {kind.simpleString()}, ids array<int>").withColumnRenamed("id_", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_file: str = DEFAULT_RANKS) -> DataFrame:
@@ -103,4 +105,4 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_fil
             texts = [enc.decode_bytes(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id_", "text"])
 
-    return rows.mapInArrow(run, f"id_ {kind.simpleString()}, text string").withColumnRenamed("id_", id_col)
+    return map_arrow(rows, run, f"id_ {kind.simpleString()}, text string").withColumnRenamed("id_", id_col)
