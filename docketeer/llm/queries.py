@@ -45,6 +45,27 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages, table(spark, d, "documents")))
 
 
+def _personal(spark: SparkSession, d: str):
+    from docketeer.llm.personal_data import train
+
+    pages = table(spark, d, "document_pages").where("not ocr_used")
+    texts = pages.select(F.lit("document_pages").alias("table_name"), F.col("id").alias("record_id"), F.col("final_text").alias("text"))
+    texts = texts.unionByName(table(spark, d, "mentions").select(F.lit("mentions").alias("table_name"), F.col("id").alias("record_id"), F.col("context_text").alias("text")))
+    return texts, train(pages, table(spark, d, "entities"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from docketeer.llm.personal_data import find_spans
+
+    return find_spans(*_personal(spark, d))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from docketeer.llm.personal_data import redact_texts
+
+    return redact_texts(*_personal(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from docketeer.llm.group_matches import connected_groups, tied_pairs
 
