@@ -12,6 +12,23 @@ from docketeer.runtime import table
 TIES = ("repeats", "supports", "derives_from")
 
 
+def _scanned(spark: SparkSession, d: str):
+    names = table(spark, d, "entities").select(F.col("canonical_name").alias("name"))
+    return table(spark, d, "document_pages").select("id", "page_number", "ocr_used", "ocr_text", "final_text"), names
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from docketeer.llm.scan_repair import find_noise
+
+    return find_noise(*_scanned(spark, d))
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    from docketeer.llm.scan_repair import repair
+
+    return repair(*_scanned(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from docketeer.llm.name_links import link_names
 
