@@ -360,7 +360,8 @@ def scan_lines(pages: DataFrame, counts: DataFrame, fixes: DataFrame) -> DataFra
 
     pages: id, page_number, ocr_used, ocr_text, final_text. Null and empty texts and pages not scanned give no rows; repeated pages count once.
     """
-    lines = _scan(pages, counts, marks=True)
+    # both branches read it: written once
+    lines = cut(_scan(pages, counts))
     unclear = lines.where("word is not null")
     clear = lines.where("word is null").select("page_id", "line_no", "kind")
     places = fixes.groupBy("word").agg(F.max_by("place", "n_meant").alias("place"))
@@ -381,7 +382,7 @@ def _noise_characters(pages: DataFrame, ratio: float = 50.0, least: int = 10) ->
     return {r["c"] for r in found} - set(HYPHENS) - set("–—")
 
 
-def _scan(pages: DataFrame, counts: DataFrame, marks: bool) -> DataFrame:
+def _scan(pages: DataFrame, counts: DataFrame) -> DataFrame:
     """Lines with a clear kind, and unclear words: (page_id, line_no, line_to, before, word, kind)."""
     common = {r["word"] for r in counts.where("clean > 0").orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).select("word").collect()}
     noise = _noise_characters(pages)
@@ -438,7 +439,7 @@ def repair(pages: DataFrame, names: DataFrame | None = None) -> DataFrame:
     counts = cut(_with_names(word_counts(pages), names))
     fixes = cut(corrections(counts))
     noise = _noise_characters(pages)
-    unclear = cut(_scan(pages, counts, marks=False).where("word is not null").select("page_id", "word").distinct())
+    unclear = cut(_scan(pages, counts).where("word is not null").select("page_id", "word").distinct())
     ranked = fixes.join(_context(pages, fixes, counts), ["word", "meant"], "left").groupBy("word").agg(F.max_by("meant", F.struct(F.coalesce("near", F.lit(0)), "n_meant", "meant")).alias("meant"))
     mine = unclear.join(ranked, "word").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("fixes"))
     rows = pages.where("ocr_used").select(F.col("id").alias("page_id"), "page_number", "ocr_text").distinct().join(mine, "page_id", "left")
