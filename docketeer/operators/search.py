@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketeer.functions import text as T
+from docketeer.runtime import ship
 
 #: Rows of the query block that a task holds at once; a search with more queries takes more passes.
 QUERY_ROWS = 20_000
@@ -55,6 +56,7 @@ def _words(query: str) -> list[str]:
 
 def phrase_search(pages: DataFrame, phrase: str, key: str = "id", text: str = "final_text", stem: bool = True) -> DataFrame:
     """(id, hits): pages in which the phrase's words stand one behind the other."""
+    ship(pages.sparkSession)
     asked = [T.porter_stem(w) if stem else w for w in _words(phrase)]
     if not asked:
         return pages.limit(0).select(F.col(key).alias("id"), F.lit(0).alias("hits"))

@@ -51,6 +51,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one named by ``spark.checkpoint.dir``; only where the session names
     none (tests, a laptop) a temporary folder is set.
     """
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
