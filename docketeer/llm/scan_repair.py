@@ -24,7 +24,7 @@ from docketeer.runtime import cut, lookup_side, map_arrow
 #: Most frequent clean words, known to every task; the rest is looked up by join.
 COMMON_WORDS = 20_000
 #: Words of one trie, and unknown words searched in it by one task.
-TRIE_WORDS, ASKED_WORDS = 150_000, 100_000
+TRIE_WORDS, ASKED_WORDS = 150_000, 20_000
 #: Error pairs kept, at most; they are pairs of one or two characters.
 MOST_ERRORS = 400
 
@@ -276,14 +276,16 @@ def word_counts(pages: DataFrame) -> DataFrame:
 def _trie_groups(vocabulary: DataFrame, asked: DataFrame, reach: int, run, schema: str) -> DataFrame:
     """Meet every asked word with every vocabulary word of a length within ``reach``, in blocks of bounded size on both sides."""
     n_words, n_asked = vocabulary.count(), asked.count()
+    # a quarter of the words may have one length
     tries, parts = max(1, math.ceil(n_words / 4 / TRIE_WORDS)), max(1, math.ceil(n_asked / 4 / ASKED_WORDS))
     lengths = F.array(*[F.length("word") + k for k in range(-reach, reach + 1)])
-    words = vocabulary.select("word", "n", F.length("word").alias("size"), F.pmod(F.xxhash64("word"), F.lit(tries)).alias("trie"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    ask = asked.select("word", "n", F.explode(lengths).alias("size"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("trie")) if tries == 1 else asked.select("word", "n", F.explode(lengths).alias("size")).withColumn("trie", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    words = vocabulary.select("word", "n", F.length("word").alias("size"), F.pmod(F.xxhash64("word"), F.lit(tries)).cast("int").alias("trie"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    ask = asked.select("word", "n", F.explode(lengths).alias("size")).withColumn("trie", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     ask = ask.withColumn("part", F.pmod(F.xxhash64("word", F.lit("part")), F.lit(parts)).cast("int"))
-    words = words.withColumn("trie", F.col("trie").cast("int"))
     keys = ["size", "trie", "part"]
-    return words.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(run, schema)
+    # the work is in the tries rather than in the bytes: a fixed number of partitions, which AQE doesn't join into one
+    n = min(4096, 24 * tries * parts)
+    return words.repartition(n, *keys).groupBy(*keys).cogroup(ask.repartition(n, *keys).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def corrections(counts: DataFrame, least: int = 2, ratio: float = 2.0) -> DataFrame:
