@@ -99,11 +99,11 @@ def test_within_one_against_brute_force():
 
 
 def test_scanned_page(spark):
-    clean = "The quarterly ledger mentions the committee and the witness. " * 30
+    clean = "The quarterly ledger mentions the committee and the witness. " * 300
     scan = "Case 1:13-cv-02912   Document 161   Filed 04/24/14\nThe quartcrly ledger mentions the commit-\n- 2 -\ntee and the witness.\n\nThe ledger · mentions the w1tness of 2O14 --\nand the committee."
     scans = [(f"s{i}", 2, True, scan, None) for i in range(12)]
-    # the scanner's habits must be seen a few times to be learned
-    habits = "\n".join(["The lcdger mcntions thc committcc and thc witncss.", "The quarterly ledgcr and the wítness."] * 2)
+    # the scanner's habits must be seen in three words or more to be learned, and its marks be rare on clean pages
+    habits = "\n".join(["The lcdger mcntions thc committcc and thc witncss.", "The quarterly ledgcr and the wítness ment1on the comm1ttee, which comm1ttees ment1ons."] * 2)
     scans += [(f"h{i}", 1, True, habits, habits) for i in range(3)]
     rows = [("c", 1, False, None, clean), *scans, ("n", 1, True, None, None), ("e", 1, True, "", None), scans[0]]
     pages = spark.createDataFrame(rows, "id string, page_number int, ocr_used boolean, ocr_text string, final_text string")
