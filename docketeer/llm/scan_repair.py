@@ -50,7 +50,8 @@ _LONE_AT = re.compile(r"[\"“(]*@[^\W\d_]*[.,;:”\")]*")
 
 
 def page_number_of(line: str) -> int | None:
-    m = _PAGE_NO.fullmatch(line.strip())
+    line = line.strip()
+    m = _PAGE_NO.fullmatch(line) if len(line) < 20 else None
     if not m:
         return None
     value = next(g for g in m.groups() if g)
@@ -65,6 +66,10 @@ def _is_header(lines: list[str], i: int) -> bool:
 
     A title proper goes on in the next line or ends with its number; a header's text stands alone.
     """
+    raw = lines[i].strip()
+    # most lines of prose end here: headers are short or set apart by blanks, and begin with a capital
+    if not 5 <= len(raw) <= 99 or (len(raw) > 60 and "   " not in raw) or raw[0].islower():
+        return False
     line = re.sub(r" {3,}[\dOolI|]{1,4}$", "", lines[i].rstrip())
     text = line.strip()
     if not 5 <= len(text) <= 90 or text[-1] in ".;:!?":
@@ -127,6 +132,29 @@ def broken_words(lines: list[str], kinds: list[str]) -> dict[int, int]:
 # --- words ---------------------------------------------------------------------------------------------------
 
 
+_CHUNKS: dict[str, tuple[str, ...]] = {}
+_EDGES = ".,;:!?\"“”()[]"
+
+
+def chunk_words(chunk: str) -> tuple[str, ...]:
+    """The words of a run of characters without blanks; numbers alone are none. Remembered, as most runs return."""
+    found = _CHUNKS.get(chunk)
+    if found is None:
+        if len(_CHUNKS) > 300_000:
+            _CHUNKS.clear()
+        bare = chunk.strip(_EDGES)
+        if bare.isalpha():
+            found = (bare,)
+        elif _LONE_AT.fullmatch(chunk):
+            found = ("@" + chunk.strip("\"“(.,;:@"),)
+        elif _ADDRESS_LIKE.search(chunk):
+            found = tuple(m[0] for m in re.finditer(r"[^\W_]+", chunk) if not m[0].isdigit())
+        else:
+            found = tuple(m[0] for m in _WORD.finditer(chunk) if not m[0].isdigit())
+        _CHUNKS[chunk] = found
+    return found
+
+
 def words_in(lines: list[str], kinds: list[str], broken: dict[int, int]) -> Iterator[tuple[int, int, int, str]]:
     """(line, line of the rest, letters before the break, word as written). Whole words have the same line twice."""
     head: tuple[int, str] | None = None
@@ -144,21 +172,17 @@ def words_in(lines: list[str], kinds: list[str], broken: dict[int, int]) -> Iter
                     yield i, i, len(m[0]), m[0]
                 head = (i, tail[0]) if tail else None
                 continue
-            if _ADDRESS_LIKE.search(chunk) and not _LONE_AT.fullmatch(chunk):
-                head = None if first else head
-                for m in re.finditer(r"[^\W_]+", chunk):
-                    yield i, i, len(m[0]), m[0]
-                continue
-            if _LONE_AT.fullmatch(chunk):
-                yield i, i, len(chunk), "@" + chunk.strip("\"“(.,;:@")
-                continue
-            found = list(_WORD.finditer(chunk))
-            if first and head and found:
-                m = found.pop(0)
-                yield head[0], i, len(head[1]), head[1] + m[0]
-                head = None
-            for m in found:
-                yield i, i, len(m[0]), m[0]
+            if first and head and not _ADDRESS_LIKE.search(chunk):
+                found = list(_WORD.finditer(chunk))
+                if found:
+                    yield head[0], i, len(head[1]), head[1] + found[0][0]
+                    head = None
+                    for m in found[1:]:
+                        yield i, i, len(m[0]), m[0]
+                    continue
+            head = None if first else head
+            for word in chunk_words(chunk):
+                yield i, i, len(word), word
 
 
 def slipped_number(word: str) -> bool:
@@ -251,7 +275,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.when(F.col("ocr_used"), F.col("ocr_text")).otherwise(F.col("final_text")).alias("text"), F.coalesce("ocr_used", F.lit(False)).alias("scan"), "page_number").where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean: Counter = Counter()
+        runs: Counter = Counter()
         scanned: Counter = Counter()
         for batch in batches:
             for text, scan, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -260,11 +284,18 @@ def word_counts(pages: DataFrame) -> DataFrame:
                     kinds = line_kinds(lines, number)
                     scanned.update(w.lower() for _, _, _, w in words_in(lines, kinds, broken_words(lines, kinds)))
                 else:
-                    clean.update(_WORD.findall(text.lower()))
-            if len(clean) + len(scanned) > 500_000:
-                yield out(clean, scanned)
-                clean, scanned = Counter(), Counter()
-        yield out(clean, scanned)
+                    runs.update(text.lower().split())
+            if len(runs) + len(scanned) > 500_000:
+                yield out(words_of_runs(runs), scanned)
+                runs, scanned = Counter(), Counter()
+        yield out(words_of_runs(runs), scanned)
+
+    def words_of_runs(runs: Counter) -> Counter:
+        clean: Counter = Counter()
+        for chunk, n in runs.items():
+            for w in _WORD.findall(chunk):
+                clean[w] += n
+        return clean
 
     def out(clean: Counter, scanned: Counter) -> pa.RecordBatch:
         words = list(clean.keys() | scanned.keys())
@@ -405,14 +436,17 @@ def _scan(pages: DataFrame, counts: DataFrame) -> DataFrame:
                         out.append((page, i, i, 0, None, "misread"))
                 out += [(page, i, i, 0, None, "hyphen") for i in broken]
                 for i, j, before, word in words_in(lines, kinds, broken):
+                    if word in common:
+                        continue
                     low = word.lower()
                     if low in common:
                         continue
                     if word[0] == "@" or slipped_number(word) or re.search(r"[^\W\d_][@|0159][^\W\d_]|[\ufb00-\ufb04]", word):
                         at = next((k for k, c in enumerate(word) if c in "@|0159" or c in "OolIS" and slipped_number(word)), 0)
                         out.append((page, i if at < before else j, i, 0, None, "misread"))
-                    else:
-                        out.append((page, i, j, before, low, "word"))
+                        if slipped_number(word):
+                            continue
+                    out.append((page, i, j, before, low, "word"))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string())] + [pa.array(c, pa.int32()) for c in cols[1:4]] + [pa.array(c, pa.string()) for c in cols[4:]], names=["page_id", "line_no", "line_to", "before", "word", "kind"])
 
