@@ -141,9 +141,7 @@ k AS (SELECT count(DISTINCT g) AS n FROM s), c AS (SELECT i, count(*) AS n_i FRO
 p AS (SELECT x.i AS a, y.i AS b, count(*) AS n_ab FROM s x JOIN s y ON x.g = y.g AND x.i < y.i GROUP BY x.i, y.i)
 """
 
-SQL = {
-    "p3_found": _PAIRS + "SELECT a AS entity_a_id, b AS entity_b_id FROM p JOIN c ca ON ca.i = a JOIN c cb ON cb.i = b, k WHERE n_ab >= 5 AND n_ab * n >= 3 * ca.n_i * cb.n_i",
-    "p4_found": """
+_LINES = """
 WITH d AS (SELECT id AS document_id, source_tag FROM documents WHERE source_tag IS NOT NULL AND trim(source_tag) <> ''),
 z AS (SELECT source_tag, count(*) AS n_tag FROM d GROUP BY source_tag),
 p AS (SELECT DISTINCT id, document_id, string_split(final_text, chr(10)) AS ls FROM document_pages WHERE NOT ocr_used AND final_text IS NOT NULL),
@@ -151,7 +149,19 @@ l AS (SELECT id AS page_id, document_id, unnest(range(len(ls))) AS line_no, unne
 q AS (SELECT page_id, document_id, line_no, regexp_replace(regexp_replace(lower(line), '(^|[^\\p{L}\\p{M}])(january|february|march|april|may|june|july|august|september|october|november|december)($|[^\\p{L}\\p{M}])', ' ', 'g'), '[^\\p{L}\\p{M}]+', '', 'g') AS k FROM l),
 j AS (SELECT DISTINCT page_id, q.document_id, line_no, k, source_tag FROM q JOIN d USING (document_id) WHERE k <> ''),
 e AS (SELECT source_tag, k FROM (SELECT source_tag, k, count(DISTINCT document_id) AS n FROM j GROUP BY source_tag, k) JOIN z USING (source_tag) WHERE n >= 3 AND n * 10 >= n_tag)
+"""
+
+SQL = {
+    "p3_found": _PAIRS + "SELECT a AS entity_a_id, b AS entity_b_id FROM p JOIN c ca ON ca.i = a JOIN c cb ON cb.i = b, k WHERE n_ab >= 5 AND n_ab * n >= 3 * ca.n_i * cb.n_i",
+    "p4_found": _LINES + """
 SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM j JOIN e USING (source_tag, k)
+""",
+    "p4_clean": _LINES + """,
+g AS (SELECT DISTINCT page_id, line_no FROM j JOIN e USING (source_tag, k)),
+a AS (SELECT id AS page_id, final_text, string_split(final_text, chr(10)) AS ls FROM (SELECT DISTINCT id, final_text FROM document_pages)),
+b AS (SELECT page_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM a),
+m AS (SELECT page_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM b ANTI JOIN g USING (page_id, line_no) GROUP BY 1)
+SELECT a.page_id, CASE WHEN final_text IS NULL THEN NULL WHEN a.page_id IN (SELECT page_id FROM g) THEN coalesce(t, '') ELSE final_text END AS clean_text FROM a LEFT JOIN m USING (page_id)
 """,
     "p7_found": """
 WITH RECURSIVE t AS (SELECT src_claim_id AS u, dst_claim_id AS v FROM narrative_claim_lineage WHERE lower(trim(relation_type)) IN ('repeats', 'supports', 'derives_from') AND src_claim_id IS NOT NULL AND dst_claim_id IS NOT NULL),

@@ -40,8 +40,9 @@ def repeated_lines(pages: DataFrame, documents: DataFrame, min_docs: int = 3, mi
     """
     docs = documents.select(F.col("id").alias("document_id"), "source_tag").where("source_tag is not null and trim(source_tag) <> ''")
     sizes = docs.groupBy("source_tag").agg(F.count("*").alias("n_tag"))
-    # one number for each document, to stand for it in bitmaps; partitions are numbered apart, so no document needs a window over its tag
-    numbered = docs.groupBy("document_id", "source_tag").agg(F.lit(1)).select("document_id", "source_tag", F.monotonically_increasing_id().alias("number"))
+    # one number for each document, to stand for it in bitmaps; partitions are numbered apart, so no document needs a window over its tag.
+    # Written once, so that a task that is repeated finds the same numbers
+    numbered = cut(docs.groupBy("document_id", "source_tag").agg(F.lit(1)).select("document_id", "source_tag", F.monotonically_increasing_id().alias("number")))
     keyed = page_lines(pages.where(where)).withColumn("key", line_key(F.col("line"))).where("key <> ''")
     keyed = keyed.select("page_id", "document_id", "line_no", F.unhex(F.md5("key")).alias("key"), F.xxhash64("line").alias("variant")).distinct()
     lines = cut(keyed.join(numbered, "document_id"))
