@@ -97,7 +97,10 @@ def upserted_entities(spark, d):
     return X.upsert_entities(found).select("entity_type", "canonical_name", "confidence", F.size("aliases").alias("n_aliases"))
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT document_id, page_number, entity_id FROM mentions), w AS (SELECT DISTINCT x.document_id, x.entity_id AS a, y.entity_id AS b, 'mentioned_with' AS kind, 0.65::DOUBLE AS confidence FROM s x JOIN s y ON x.document_id = y.document_id AND x.page_number = y.page_number AND x.entity_id < y.entity_id),
+t AS (SELECT DISTINCT document_id, unnest(regexp_extract_all(final_text, '(?m)^([A-Z][\\w.&'' \\-]+? v\\. [A-Z][\\w.&'' \\-]+?)(?: —|,|$)', 1)) AS t FROM document_pages WHERE final_text IS NOT NULL),
+n AS (SELECT canonical_name AS x, min(id) AS i FROM entities GROUP BY 1), f AS (SELECT document_id, least(p.i, q.i) AS a, greatest(p.i, q.i) AS b, 'filed_against' AS kind, 0.72::DOUBLE AS confidence FROM t JOIN n p ON p.x = split_part(t, ' v. ', 1) JOIN n q ON q.x = split_part(t, ' v. ', 2) WHERE p.i <> q.i)
+SELECT document_id, a, b, arg_max(kind, confidence) AS kind, max(confidence) AS confidence FROM (SELECT * FROM w UNION ALL SELECT * FROM f) GROUP BY 1, 2, 3""")
 def typed_relationships(spark, d):
     return X.typed_relationships(table(spark, d, "document_pages"), table(spark, d, "mentions"), table(spark, d, "entities"))
 
