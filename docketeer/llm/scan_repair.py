@@ -415,9 +415,21 @@ def _noise_characters(pages: DataFrame, ratio: float = 50.0, least: int = 10) ->
     return {r["c"] for r in found} - set(HYPHENS) - set("–—")
 
 
+def _common(counts: DataFrame) -> set[str]:
+    """At most COMMON_WORDS words: those above a count that a histogram of the counts gives, so that no more than these go to the driver."""
+    histogram = counts.where("clean > 0").groupBy(F.floor(F.log2(F.col("clean")) * 4).alias("bin")).agg(F.count("*").alias("words"), F.min("clean").alias("least")).collect()
+    total, least = 0, None
+    for r in sorted(histogram, key=lambda r: -r["bin"]):
+        total += r["words"]
+        if total > COMMON_WORDS:
+            break
+        least = r["least"]
+    return {r["word"] for r in counts.where(F.col("clean") >= least).select("word").collect()} if least is not None else set()
+
+
 def _scan(pages: DataFrame, counts: DataFrame) -> DataFrame:
     """Lines with a clear kind, and unclear words: (page_id, line_no, line_to, before, word, kind)."""
-    common = {r["word"] for r in counts.where("clean > 0").orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).select("word").collect()}
+    common = _common(counts)
     noise = _noise_characters(pages)
     inserted = re.compile("[" + re.escape("".join(sorted(noise))) + "]") if noise else None
     rows = pages.where("ocr_used and ocr_text is not null").select(F.col("id").alias("page_id"), "page_number", "ocr_text").distinct()
