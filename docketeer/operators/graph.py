@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 
 from docketeer.runtime import cut, lookup_side
 
-#: Edges up to which algorithms that need the whole graph in each task may run; checked before.
-WHOLE_GRAPH_EDGES = 200_000
+#: Ties times sources that a task follows at once.
+BLOCK_CELLS = 2_000_000
+#: Edges that a task thins at once.
+TASK_EDGES = 500_000
 
 
 def edges_of(relationships: DataFrame, min_weight: int = 1) -> DataFrame:
@@ -156,103 +161,148 @@ def influence_map(edges: DataFrame, mentions: DataFrame, claims: DataFrame) -> D
     return out.select("id", score.alias("influence")).where("influence >= 0.01")
 
 
-def _adjacency(edges: DataFrame) -> dict[str, list[tuple[str, float]]]:
-    n = edges.count()
-    if n > WHOLE_GRAPH_EDGES:
-        raise ValueError(f"{n} edges: exact shortest paths are offered up to {WHOLE_GRAPH_EDGES}; raise min_weight or restrict the graph")
-    near: dict[str, list[tuple[str, float]]] = {}
-    for r in edges.select("a", "b", "weight").orderBy("a", "b").toLocalIterator():
-        near.setdefault(r["a"], []).append((r["b"], float(r["weight"])))
-        near.setdefault(r["b"], []).append((r["a"], float(r["weight"])))
-    return near
+def _compact(edges: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The graph in numbers: its vertices in order, where each vertex's ties begin, their other ends, their lengths (the weights, above 0).
 
-
-def _dijkstra(near: dict, s: str) -> tuple[list[str], dict[str, list[str]], dict[str, float]]:
-    """Vertices by distance from ``s``, their predecessors on shortest paths, and the number of those paths."""
-    import heapq
-
-    dist, paths, before, order, queue = {s: 0.0}, {s: 1.0}, {s: []}, [], [(0.0, s)]
-    done = set()
-    while queue:
-        d, v = heapq.heappop(queue)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for w, length in near[v]:
-            far = d + length
-            if w not in dist or far < dist[w] - 1e-12:
-                dist[w], paths[w], before[w] = far, paths[v], [v]
-                heapq.heappush(queue, (far, w))
-            elif abs(far - dist[w]) <= 1e-12 and w not in done:
-                paths[w] += paths[v]
-                before[w].append(v)
-    return order, before, paths
+    12 bytes for each direction of a tie, read partition by partition; no number of edges is refused.
+    """
+    e = cut(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
+    ids = [r["id"] for r in e.select(F.explode(F.array("a", "b")).alias("id")).distinct().orderBy("id").toLocalIterator()]
+    number = {v: i for i, v in enumerate(ids)}
+    ends, length = array("i"), array("d")
+    for r in e.toLocalIterator():
+        ends.append(number[r["a"]])
+        ends.append(number[r["b"]])
+        length.append(r["w"])
+    u, v = np.array(ends, np.int32).reshape(-1, 2).T
+    tail, head, w = np.concatenate([u, v]), np.concatenate([v, u]), np.tile(np.array(length), 2)
+    order = np.lexsort((head, tail))
+    start = np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=len(ids)))]).astype(np.int64)
+    return ids, start, head[order], w[order]
+
+
+def _distances(start: np.ndarray, head: np.ndarray, length: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """From each source to each vertex, all sources at once: what came nearer in a round is followed in the next."""
+    n = len(start) - 1
+    dist = np.full(len(sources) * n, np.inf)
+    moved = np.arange(len(sources)) * n + sources
+    dist[moved] = 0.0
+    while len(moved):
+        v = moved % n
+        k = start[v + 1] - start[v]
+        tie = np.arange(k.sum()) + np.repeat(start[v] - np.cumsum(k) + k, k)
+        to = np.repeat(moved - v, k) + head[tie]
+        far = np.repeat(dist[moved], k) + length[tie]
+        near = far < dist[to] - 1e-12
+        to, far = to[near], far[near]
+        np.minimum.at(dist, to, far)
+        moved = np.unique(to)
+    return dist.reshape(len(sources), n)
+
+
+def _shortest_ties(start: np.ndarray, head: np.ndarray, length: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tail, head) of the ties on shortest paths, the nearest heads first."""
+    tail = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    with np.errstate(invalid="ignore"):
+        row, tie = np.nonzero(np.abs(dist[:, tail] + length - dist[:, head]) <= 1e-11)
+    order = np.argsort(dist[row, head[tie]], kind="stable")
+    row, tie = row[order], tie[order]
+    return row, tail[tie], head[tie]
+
+
+def _blocks(graph, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sources of a task, as many at once as BLOCK_CELLS allows, and their distances."""
+    ids, start, head, length = graph
+    at_once = max(1, BLOCK_CELLS // max(1, len(head)))
+    for batch in batches:
+        for k in range(0, len(batch), at_once):
+            sources = batch["i"].to_numpy()[k : k + at_once]
+            yield sources, _distances(start, head, length, sources)
+
+
+def _sources(spark, n: int) -> DataFrame:
+    return spark.range(n).withColumnRenamed("id", "i").repartition(max(1, min(512, n // 50)))
 
 
 def betweenness(edges: DataFrame, weighted: bool = True) -> DataFrame:
     """(id, betweenness): normalised, exact; an edge's weight is its length, so heavy ties are long. One task for each part of the sources.
 
-    The whole graph goes to every task; its size is checked and more than WHOLE_GRAPH_EDGES edges are refused.
+    Every task holds the graph in numbers; sources are followed in blocks of bounded size.
     """
-    near = _adjacency(edges if weighted else edges.withColumn("weight", F.lit(1)))
-    n = len(near)
     spark = edges.sparkSession
-    sources = spark.createDataFrame(sorted(near), "string").toDF("id") if near else spark.createDataFrame([], "id string")
+    graph = _compact(edges if weighted else edges.withColumn("weight", F.lit(1)))
+    n = len(graph[0])
+    if not n:
+        return spark.createDataFrame([], "id string, betweenness double")
+    shared = spark.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
-        for batch in batches:
-            for s in batch["id"]:
-                order, before, paths = _dijkstra(near, s)
-                part = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        part[v] += paths[v] / paths[w] * (1 + part[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + part[w]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())}, columns=["id", "part"])
+        ids, *g = shared.value
+        total = np.zeros(n)
+        for sources, dist in _blocks(shared.value, batches):
+            row, tail, head = _shortest_ties(*g, dist)
+            far = dist[row, head]
+            u, w = row * n + tail, row * n + head
+            steps = [*np.flatnonzero(np.diff(far, prepend=-1.0)), len(far)]
+            paths, part = np.zeros(dist.size), np.zeros(dist.size)
+            paths[np.arange(len(sources)) * n + sources] = 1.0
+            spans = [slice(x, y) for x, y in itertools.pairwise(steps)]
+            for k in spans:
+                np.add.at(paths, w[k], paths[u[k]])
+            for k in reversed(spans):
+                np.add.at(part, u[k], paths[u[k]] / paths[w[k]] * (1 + part[w[k]]))
+            part[np.arange(len(sources)) * n + sources] = 0.0
+            total += part.reshape(dist.shape).sum(axis=0)
+        yield pd.DataFrame({"id": ids, "part": total})
 
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    from docketeer.runtime import ship
-
-    ship(spark)
-    parts = sources.repartition(max(1, min(64, n // 50))).mapInPandas(run, "id string, part double")
-    return sources.join(parts.groupBy("id").agg(F.sum("part").alias("part")), "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+    parts = _sources(spark, n).mapInPandas(run, "id string, part double")
+    return parts.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
 
 
 def broker_paths(edges: DataFrame, entity: str, limit: int = 10) -> DataFrame:
     """(path, score): shortest paths (length 1 / weight) that pass through ``entity``, each in one direction, of equal ones the first by name."""
-    import heapq
-
-    near = _adjacency(edges.withColumn("weight", 1.0 / F.greatest(F.col("weight"), F.lit(1))))
     spark = edges.sparkSession
-    sources = spark.createDataFrame(sorted(near), "string").toDF("id") if near else spark.createDataFrame([], "id string")
+    graph = _compact(edges.withColumn("weight", 1.0 / F.greatest(F.col("weight"), F.lit(1))))
+    n = len(graph[0])
+    if entity not in graph[0]:
+        return spark.createDataFrame([], "path string, score double")
+    shared, middle = spark.sparkContext.broadcast(graph), graph[0].index(entity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        for batch in batches:
-            for s in batch["id"]:
-                best: dict[str, tuple[float, tuple]] = {}
-                queue = [(0.0, (s,))]
-                while queue:
-                    d, path = heapq.heappop(queue)
-                    if path[-1] in best:
-                        continue
-                    best[path[-1]] = (d, path)
-                    for w, length in near[path[-1]]:
-                        if w not in best:
-                            heapq.heappush(queue, (round(d + length, 12), (*path, w)))
-                for t, (_, path) in best.items():
-                    if s < t and entity in path[1:-1]:
-                        i = path.index(entity)
-                        rows.append((" > ".join(path), float(len(path) + min(i, len(path) - 1 - i)), len(path)))
-        yield pd.DataFrame(rows, columns=["path", "score", "size"])
-
-    out = sources.repartition(max(1, min(64, len(near) // 50))).mapInPandas(run, "path string, score double, size int")
+        ids, *g = shared.value
+        best: list[tuple] = []
+        for sources, dist in _blocks(shared.value, batches):
+            row, tail, head = _shortest_ties(*g, dist)
+            cuts = np.argsort(row, kind="stable")
+            row, tail, head = row[cuts], tail[cuts], head[cuts]
+            ends = np.searchsorted(row, np.arange(len(sources) + 1))
+            for k, s in enumerate(sources.tolist()):
+                # vertices are numbered by name, so that the smallest tuple is the first by name
+                path = {s: (s,)}
+                for u, v in zip(tail[ends[k] : ends[k + 1]].tolist(), head[ends[k] : ends[k + 1]].tolist(), strict=True):
+                    if v not in path or (*path[u], v) < path[v]:
+                        path[v] = (*path[u], v)
+                for t, p in path.items():
+                    if s < t and middle in p[1:-1]:
+                        i = p.index(middle)
+                        best.append((-float(len(p) + min(i, len(p) - 1 - i)), len(p), p))
+                if len(best) > 100_000:
+                    best = _first(best, ids, limit)
+        rows = _first(best, ids, limit)
+        yield pd.DataFrame({"path": [" > ".join(ids[v] for v in p) for _, _, p in rows], "score": [-s for s, _, _ in rows], "size": [n for _, n, _ in rows]}, columns=["path", "score", "size"]).astype({"path": "object", "score": "float64", "size": "int32"})
+
+    out = _sources(spark, n).mapInPandas(run, "path string, score double, size int")
     return out.orderBy(F.desc("score"), "size", "path").limit(limit).select("path", "score")
 
 
+def _first(paths: list[tuple], ids: list[str], limit: int) -> list[tuple]:
+    """The first ``limit`` of (-score, size, path), and by their written form where these agree."""
+    paths.sort(key=lambda x: x[:2])
+    last = paths[min(limit, len(paths)) - 1][:2] if paths else None
+    return sorted((x for x in paths if x[:2] <= last), key=lambda x: (*x[:2], " > ".join(ids[v] for v in x[2])))[:limit]
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): label propagation by weight; of equal labels the smallest. Names of communities are their smallest members."""
     near = both_ways(edges)
@@ -309,33 +359,95 @@ def outlier_documents(mentions: DataFrame, least: int = 3) -> DataFrame:
     return per.select(F.col("document_id").alias("id"), F.lit("outlier").alias("lead"), F.least(F.lit(0.99), 0.4 + 0.5 * F.col("n") / F.col("all") + 0.02 * F.col("n")).alias("confidence"))
 
 
+def _neighbours(pairs: pd.DataFrame) -> tuple[list, list[list[int]]]:
+    number, ids = pd.factorize(pd.concat([pairs["a"], pairs["b"]]))
+    near: list[list[int]] = [[] for _ in ids]
+    for x, y in zip(number[: len(pairs)].tolist(), number[len(pairs) :].tolist(), strict=True):
+        near[x].append(y)
+        near[y].append(x)
+    return list(ids), near
+
+
+def _certificate(pairs: pd.DataFrame) -> pd.DataFrame:
+    """At most two edges for each vertex that hold together, without any one vertex, what all edges hold together without it.
+
+    A breadth-first forest and a spanning forest of the other edges: an edge at x outside the first forest leads to a vertex that was
+    reached before x was left, so that its way to the root avoids x. It holds for any edges joined to them as well.
+    """
+    ids, near = _neighbours(pairs)
+    above, other = [-1] * len(ids), list(range(len(ids)))
+    kept = []
+    for root in range(len(ids)):
+        if above[root] < 0:
+            above[root], queue = root, [root]
+            for v in queue:
+                for w in near[v]:
+                    if above[w] < 0:
+                        above[w] = v
+                        queue.append(w)
+                        kept.append((v, w))
+
+    def top(v: int) -> int:
+        while other[v] != v:
+            other[v] = v = other[other[v]]
+        return v
+
+    for v, ws in enumerate(near):
+        for w in ws:
+            if v < w and above[w] != v and above[v] != w and (x := top(v)) != (y := top(w)):
+                other[x] = y
+                kept.append((v, w))
+    return pd.DataFrame([(ids[v], ids[w]) for v, w in kept], columns=["a", "b"])
+
+
+def _parts_without(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(id, parts): into how many parts a vertex's neighbours fall without it, where there is more than one; depth first, without recursion."""
+    ids, near = _neighbours(pairs)
+    seen, low, parts, count = [0] * len(ids), [0] * len(ids), [1] * len(ids), 0
+    for root in range(len(ids)):
+        if seen[root]:
+            continue
+        count += 1
+        seen[root] = low[root] = count
+        parts[root], stack = 0, [(root, -1, iter(near[root]))]
+        while stack:
+            v, up, rest = stack[-1]
+            for w in rest:
+                if not seen[w]:
+                    count += 1
+                    seen[w] = low[w] = count
+                    stack.append((w, v, iter(near[w])))
+                    break
+                if w != up:
+                    low[v] = min(low[v], seen[w])
+            else:
+                stack.pop()
+                if up >= 0:
+                    low[up] = min(low[up], low[v])
+                    parts[up] += low[v] >= seen[up]
+    return pd.DataFrame([(ids[v], k) for v, k in enumerate(parts) if k > 1], columns=["id", "parts"])
+
+
 def bridges(edges: DataFrame) -> DataFrame:
-    """Leads: vertices without which their neighbours fall apart. By vertex: neighbours' components without it, the graph being checked in size."""
-    near = {v: [w for w, _ in ws] for v, ws in _adjacency(edges).items()}
-    top = max((len(ws) for ws in near.values()), default=1)
-    spark = edges.sparkSession
-    sources = spark.createDataFrame(sorted(near), "string").toDF("id") if near else spark.createDataFrame([], "id string")
+    """Leads: vertices without which their neighbours fall apart, of any number of edges.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        for batch in batches:
-            for s in batch["id"]:
-                left, parts = set(near[s]), 0
-                while left:
-                    parts += 1
-                    seen, stack = {s}, [left.pop()]
-                    while stack and left:
-                        v = stack.pop()
-                        if v in seen:
-                            continue
-                        seen.add(v)
-                        left.discard(v)
-                        stack += near[v]
-                if parts >= 2:
-                    rows.append((s, "bridge", min(0.99, 0.55 + 0.1 * (parts - 2) + 0.25 * len(near[s]) / top)))
-        yield pd.DataFrame(rows, columns=["id", "lead", "confidence"])
-
-    return sources.repartition(max(1, min(64, len(near) // 50))).mapInPandas(run, "id string, lead string, confidence double")
+    Tasks thin their edges to two for each vertex, which keeps every answer, and are joined four by four until one task holds the rest.
+    """
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield _certificate(pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="object"), *batches]))
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield _parts_without(pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="object"), *batches]))
+
+    ties = cut(edges.select("a", "b"))
+    tasks = -(-ties.count() // TASK_EDGES)
+    while tasks > 1:
+        ties = cut(ties.repartition(tasks).mapInPandas(thin, "a string, b string"))
+        tasks = -(-tasks // 4)
+    apart = ties.repartition(1).mapInPandas(parts, "id string, parts int")
+    score = 0.55 + 0.1 * (F.col("parts") - 2) + 0.25 * F.col("centrality")
+    return degrees(edges).join(apart, "id").select("id", F.lit("bridge").alias("lead"), F.least(F.lit(0.99), score).alias("confidence"))
 
 
 def leads(edges: DataFrame, mentions: DataFrame, top: int = 50) -> DataFrame:

@@ -98,8 +98,7 @@ def influence_map(spark, d):
 
 @query()
 def betweenness(spark, d):
-    # ties of four documents or more: the exact algorithm is offered for graphs that fit a task
-    return G.betweenness(_edges(spark, d, 4)).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return G.betweenness(_edges(spark, d)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
@@ -115,20 +114,20 @@ def community_report(spark, d):
 
 @query()
 def brokers(spark, d):
-    e = _edges(spark, d, 4)
+    e = _edges(spark, d)
     return G.brokers(e, G.communities(e), G.betweenness(e))
 
 
 @query()
 def broker_paths(spark, d):
-    e = _edges(spark, d, 4)
+    e = _edges(spark, d)
     top = G.degrees(e).orderBy(F.desc("degree"), "id").first()
     return G.broker_paths(e, top["id"] if top else "", 20)
 
 
 @query()
 def bridge_leads(spark, d):
-    return G.bridges(_edges(spark, d, 4))
+    return G.bridges(_edges(spark, d))
 
 
 @query(EDGES + "SELECT id, 'gatekeeper' AS lead, round(least(0.99, d / (SELECT max(d) FROM deg) / (1 + 0.15 * m)), 6) AS confidence FROM deg JOIN (SELECT entity_id AS id, count(*) AS m FROM mentions GROUP BY 1) USING (id) WHERE d >= 3 AND least(0.99, d / (SELECT max(d) FROM deg) / (1 + 0.15 * m)) >= 0.3")

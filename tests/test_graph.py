@@ -75,3 +75,81 @@ def test_pagerank_sums_to_one_and_hops(spark):
 def test_eigenvector_favours_the_hub(spark):
     out = {r.id: r.score for r in G.eigenvector(edges(spark, STAR_AND_TAIL[:6]), 10).collect()}
     assert max(out, key=out.get) == "h"
+
+
+def _random_graph(n, m, seed, heaviest):
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+    return [(f"v{a:03}", f"v{b:03}", rng.randint(1, heaviest)) for a, b in sorted(pairs)]
+
+
+def _all_paths(rows, length):
+    """Every shortest path between two vertices, by brute force."""
+    near = {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = length(w)
+    out = {}
+    for s in near:
+        best = {s: (0.0, [(s,)])}
+        todo = [s]
+        while todo:
+            v = min(todo, key=lambda x: best[x][0])
+            todo.remove(v)
+            for w, d in near[v].items():
+                far = best[v][0] + d
+                if w not in best or far < best[w][0] - 1e-9:
+                    if w not in todo:
+                        todo.append(w)
+                    best[w] = (far, [(*p, w) for p in best[v][1]])
+                elif abs(far - best[w][0]) < 1e-9:
+                    best[w] = (best[w][0], best[w][1] + [(*p, w) for p in best[v][1]])
+        out |= {(s, t): sorted(ps) for t, (_, ps) in best.items() if t != s}
+    return near, out
+
+
+def test_betweenness_and_broker_paths_brute_force(spark):
+    rows = _random_graph(30, 60, 5, 3)
+    near, paths = _all_paths(rows, float)
+    n = len(near)
+    want = {v: sum(sum(v in p[1:-1] for p in ps) / len(ps) for ps in paths.values()) / ((n - 1) * (n - 2)) for v in near}
+    got = {r.id: r.betweenness for r in G.betweenness(edges(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    hub = max(near, key=lambda v: (len(near[v]), v))
+    _, paths = _all_paths(rows, lambda w: 1 / w)
+    through = [ps[0] for (s, t), ps in paths.items() if s < t and hub in ps[0][1:-1]]
+    ranked = sorted((-(len(p) + min(p.index(hub), len(p) - 1 - p.index(hub))), len(p), " > ".join(p)) for p in through)
+    assert [(-r.score, r.path) for r in G.broker_paths(edges(spark, rows), hub, 12).collect()] == [(s, p) for s, _, p in ranked[:12]]
+
+
+def test_bridges_brute_force_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_EDGES", 15)
+    rows = _random_graph(60, 75, 6, 1)
+    near, _ = _all_paths(rows, float)
+    top, want = max(map(len, near.values())), {}
+    for v in near:
+        left, parts = set(near[v]), 0
+        while left:
+            parts += 1
+            stack, seen = [left.pop()], {v}
+            while stack:
+                x = stack.pop()
+                if x not in seen:
+                    seen.add(x)
+                    stack += near[x]
+            left -= seen
+        if parts > 1:
+            want[v] = round(min(0.99, 0.55 + 0.1 * (parts - 2) + 0.25 * len(near[v]) / top), 9)
+    assert len(want) > 5 and {r.id: round(r.confidence, 9) for r in G.bridges(edges(spark, rows)).collect()} == want
+
+
+def test_graphs_of_many_light_ties_are_not_refused(spark, tmp_path):
+    from docketeer.plans.graphs import QUERIES
+
+    e = spark.range(210_000).selectExpr("concat('a', id % 700) as a", "concat('b', id div 700) as b", "1L as weight")
+    assert G.bridges(e.union(spark.sql("select 'a0', 'z', 1L"))).first().id == "a0"
+    light = [("a", "b", 1), ("b", "c", 2), ("c", "d", 3)]
+    spark.createDataFrame(light, "entity_a_id string, entity_b_id string, weight int").write.parquet(f"{tmp_path}/entity_relationships.parquet")
+    assert {r.id for r in QUERIES["betweenness"](spark, tmp_path).where("betweenness > 0").collect()} == {"b", "c"}
+    assert {r.id for r in QUERIES["brokers"](spark, tmp_path).where("betweenness > 0").collect()} == {"b", "c"}
+    assert {r.id for r in QUERIES["bridge_leads"](spark, tmp_path).collect()} == {"b", "c"}
+    assert [r.path for r in QUERIES["broker_paths"](spark, tmp_path).collect()] == ["a > b > c > d", "a > b > c"]
