@@ -452,7 +452,7 @@ def bridges(edges: DataFrame) -> DataFrame:
 
 def leads(edges: DataFrame, mentions: DataFrame, top: int = 50) -> DataFrame:
     """All kinds of leads, the best of each entity or document, the ``top`` ones."""
-    every = gatekeepers(edges, mentions).unionByName(spikes(mentions)).unionByName(outlier_documents(mentions))
+    every = gatekeepers(edges, mentions).unionByName(bridges(edges)).unionByName(spikes(mentions)).unionByName(outlier_documents(mentions))
     best = every.groupBy("id").agg(F.max_by(F.struct("lead", "confidence"), F.struct("confidence", "lead")).alias("s")).select("id", "s.*")
     return best.orderBy(F.desc("confidence"), "id").limit(top)
 

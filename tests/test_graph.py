@@ -153,3 +153,11 @@ def test_graphs_of_many_light_ties_are_not_refused(spark, tmp_path):
     assert {r.id for r in QUERIES["brokers"](spark, tmp_path).where("betweenness > 0").collect()} == {"b", "c"}
     assert {r.id for r in QUERIES["bridge_leads"](spark, tmp_path).collect()} == {"b", "c"}
     assert [r.path for r in QUERIES["broker_paths"](spark, tmp_path).collect()] == ["a > b > c > d", "a > b > c"]
+
+
+def test_leads_have_bridges(spark):
+    mentions = spark.createDataFrame([("d1", "h"), ("d2", "h")], "document_id string, entity_id string")
+    e = edges(spark, STAR_AND_TAIL)
+    got = {r.id: (r.lead, round(r.confidence, 9)) for r in G.leads(e, mentions).collect()}
+    # h, of 4 ties and as many parts without it, is a gatekeeper of confidence 0.77 as well
+    assert got["h"] == ("bridge", 0.99) and got["d"] == ("bridge", 0.675) and got["e"] == ("bridge", 0.675)
