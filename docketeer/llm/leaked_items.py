@@ -66,17 +66,17 @@ class WuManber:
             i += 1
 
 
-def follow(a: list[str], i: int, b: list[str], j: int, step: int, worst: int = 2, back: int = 9) -> tuple[int, int, int]:
-    """From equal words at a[i], b[j], walk in direction ``step``: (matches, last equal i, last equal j).
+def follow(a: list[str], i: int, b: list[str], j: int, step: int, worst: int = 2, back: int = 9) -> list[tuple[int, int]]:
+    """From equal words at a[i], b[j], walk in direction ``step``: the places (i, j) of equal words behind it.
 
     An unequal place is taken as a changed, added or left-out word, whichever lets more of the next words agree.
     The walk ends when more than ``worst`` of the last ``back`` places were unequal.
     """
-    matched, last, past = 0, (i, j), []
+    equal, past = [], []
     i, j = i + step, j + step
     while 0 <= i < len(a) and 0 <= j < len(b):
         if a[i] == b[j]:
-            matched, last = matched + 1, (i, j)
+            equal.append((i, j))
             past.append(0)
             i, j = i + step, j + step
         else:
@@ -94,7 +94,24 @@ def follow(a: list[str], i: int, b: list[str], j: int, step: int, worst: int = 2
             i, j = i + move[0] * step, j + move[1] * step
         if sum(past[-back:]) > worst:
             break
-    return matched, *last
+    return equal
+
+
+def best_part(equal: list[tuple[int, int]], min_words: int) -> tuple[int, int, int, int] | None:
+    """(matched words, first item word, item words spanned, words spanned): the part of a walk with the most equal words that agrees well enough."""
+    best = None
+    for x, (i0, j0) in enumerate(equal):
+        if len(equal) - x <= (best[0] if best else 0):
+            break
+        for y in range(len(equal) - 1, x, -1):
+            matched, span, wide = y - x + 1, equal[y][0] - i0 + 1, equal[y][1] - j0 + 1
+            longest = max(span, wide)
+            if longest < min_words or best and matched <= best[0]:
+                break
+            if matched >= MATCHED * longest:
+                best = matched, i0, span, wide
+                break
+    return best
 
 
 def passages(search: WuManber, words: list[str], min_words: int) -> list[tuple[int, int, int, int, int]]:
@@ -105,12 +122,11 @@ def passages(search: WuManber, words: list[str], min_words: int) -> list[tuple[i
         if any(i0 <= at <= i1 and j0 <= pos <= j1 for i0, i1, j0, j1 in covered[item]):
             continue
         a = search.items[item]
-        left, i0, j0 = follow(a, at, words, pos, -1)
-        right, i1, j1 = follow(a, at, words, pos, 1)
+        equal = [*reversed(follow(a, at, words, pos, -1)), (at, pos), *follow(a, at, words, pos, 1)]
+        (i0, j0), (i1, j1) = equal[0], equal[-1]
         covered[item].append((i0, i1, j0, j1))
-        matched, span, wide = left + right + 1, i1 - i0 + 1, j1 - j0 + 1
-        if max(span, wide) >= min_words and matched >= MATCHED * max(span, wide):
-            best[item] = max(best.get(item, (0,)), (matched, i0, span, wide))
+        if max(i1 - i0, j1 - j0) + 1 >= min_words and (part := best_part(equal, min_words)):
+            best[item] = max(best.get(item, (0,)), part)
     return [(item, *rest) for item, rest in best.items()]
 
 

@@ -69,3 +69,16 @@ def test_search_equals_brute_force():
 
 def test_broken_words():
     assert L.words_of("The chan-\ndler's Loom") == ["the", "chandler", "s", "loom"]
+
+
+def test_a_quotation_counts_with_stray_words_at_its_end():
+    item = [f"w{k}" for k in range(40)]
+    exact = item[10:25]
+    search = L.WuManber([(1, item)])
+    # 16 of 18 agree over the whole stretch, 15 of 15 without its end
+    stray = ["x"] * 9 + exact + ["y", "z", item[27]] + ["x"] * 9
+    assert L.passages(search, stray, 15) == [(1, 15, 10, 15, 15)]
+    # the same at its beginning
+    assert L.passages(search, ["x"] * 9 + [item[7], "y", "z", *exact] + ["x"] * 9, 15) == [(1, 15, 10, 15, 15)]
+    # 14 words are too few
+    assert L.passages(search, ["x"] * 9 + exact[:14] + ["y", "z", "q"] + ["x"] * 9, 15) == []
