@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,32 +16,72 @@ from docketeer.runtime import cut
 def duplicate_candidates(entities: DataFrame, min_confidence: float = 0.55) -> DataFrame:
     """(id_a, id_b, confidence, rule) of the same type: containment, shared words, edit distance, initials, in this order of trust.
 
-    Each rule has its own blocks, which are complete for it: containment and shared words need a common word or, for parts of words,
-    a common three-letter piece of the shorter name's rarest; an edit ratio of .75 leaves one quarter of a name untouched; initials
-    are equal keys. Rows with null names or types leave.
+    Each rule has its own blocks, which are complete for it: of a contained name every four-letter piece is in the other, the rarest is asked for;
+    of names that share .6 of their words one is among the rarest n - ceil(.6 n) + 1 of either; of names within a quarter of edits the longer,
+    cut in one piece more than there may be edits, has a piece that stands unchanged near its place in the other; initials are equal keys.
+    Rows with null names or types leave.
     """
     e = cut(entities.where("canonical_name is not null and trim(canonical_name) <> ''").select("id", F.col("entity_type").alias("kind"), F.trim("canonical_name").alias("name")).distinct())
-    e = e.withColumn("low", F.lower("name")).withColumn("tokens", T.significant_tokens(F.col("name")))
-    low = e.select("id", "kind", "low", F.length("low").alias("n"))
-    # pieces: the name cut in four; a pair within a quarter of edits keeps at least one piece, give or take shifts of place
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 3, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(4))))
-    keys = e.select("id", "kind", F.explode(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("w:"), t)), F.transform(grams, lambda g: F.concat(F.lit("g:"), g)))).alias("key"))
-    size = keys.groupBy("kind", "key").agg(F.count("*").alias("df"))
-    # a name's rarest keys carry the join; the common ones add pairs that the rare ones have already
-    ranked = keys.join(size, ["kind", "key"])
-    lead = ranked.groupBy("id", "kind").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "key"))), 1, 12).alias("k")).select("id", "kind", F.explode("k.key").alias("key"))
-    ini = e.where("kind = 'Person'").select("id", "kind", F.concat(F.lit("i:"), T.initials(F.col("name"))).alias("key"))
-    short = e.where((F.col("kind") == "Person") & (F.length("name") <= 4)).select("id", "kind", F.concat(F.lit("i:"), F.col("name")).alias("key"))
-    blocks = lead.unionByName(ini).unionByName(short).distinct()
-    pairs = blocks.alias("a").join(keys.unionByName(ini).unionByName(short).alias("b"), ["kind", "key"]).where("a.id <> b.id")
-    pairs = pairs.select("kind", F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
-    del low
+    e = e.withColumn("low", F.lower("name")).withColumn("tokens", F.array_distinct(T.significant_tokens(F.col("name"))))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 3), lambda i: F.substring(F.col("low"), i, F.lit(4))))
+    inside = _rare(e.where("length(low) >= 4").select("id", "kind", F.explode(grams).alias("key")), lambda n: F.lit(1))
+    words = _rare(e.select("id", "kind", F.explode("tokens").alias("key")), lambda n: n - F.ceil(0.6 * n - 1e-9) + 1)
+    edits = _edit_keys(e.select("id", "kind", "low"))
+    ini = e.where("kind = 'Person'").select("id", "kind", T.initials(F.col("name")).alias("key"))
+    short = e.where((F.col("kind") == "Person") & (F.length("name") <= 4)).select("id", "kind", F.col("name").alias("key"))
+    same = ini.unionByName(short).distinct()
+    pairs = None
+    for probe, keys in (inside, words, edits, (same, same)):
+        met = probe.alias("a").join(keys.alias("b"), ["kind", "key"]).where("a.id <> b.id").select("kind", F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.distinct()
     a = e.select(F.col("id").alias("id_a"), F.col("name").alias("na"), F.col("low").alias("la"), F.col("tokens").alias("ta"))
     b = e.select(F.col("id").alias("id_b"), F.col("name").alias("nb"), F.col("low").alias("lb"), F.col("tokens").alias("tb"))
     scored = pairs.join(a, "id_a").join(b, "id_b")
     return scored.select("id_a", "id_b", *_confidence()).where(F.col("confidence") >= min_confidence)
 
 
+def _rare(keys: DataFrame, least) -> tuple[DataFrame, DataFrame]:
+    """The ``least``(n) rarest of each row's n keys, and all keys. Keys found once meet nothing, but they take their places among the rarest."""
+    keys = cut(keys)
+    size = keys.groupBy("kind", "key").agg(F.count("*").alias("df"))
+    rare = keys.join(size, ["kind", "key"]).groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
+    rare = rare.select("id", "kind", F.explode(F.slice("k", F.lit(1), least(F.size("k")).cast("int"))).alias("k"))
+    return rare.where("k.df > 1").select("id", "kind", F.col("k.key").alias("key")), keys
+
+
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(begin, length) of the pieces of a name of n letters: one more than a quarter of n edits can touch."""
+    k = n // 4 + 1
+    short, long = n // k, n % k
+    return [(i * short + max(0, i - (k - long)), short + (i >= k - long)) for i in range(k)]
+
+
+def _edit_keys(names: DataFrame, longest: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Keys of names as the longer and as the shorter of a pair: its length, a piece's number and letters. A piece with i pieces before it
+    and j behind it is moved by at most i from the left, or by at most j from the right, if it is the first left whole."""
+
+    def cut_up(longer: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for id_, kind, low in zip(batch["id"], batch["kind"], batch["low"], strict=True):
+                    m = len(low)
+                    keys = set()
+                    for n in [m] if longer else range(m, min(longest, m + m // 3) + 1):
+                        for i, (at, size) in enumerate(pieces(n)):
+                            k, d = n // 4, m - n
+                            places = [at] if longer else range(max(0, at - i, at + d - (k - i)), min(m - size, at + i, at + d + k - i) + 1)
+                            keys.update(f"{n} {i} {low[p : p + size]}" for p in places)
+                    rows += [(id_, kind, key) for key in keys]
+                yield pd.DataFrame(rows, columns=["id", "kind", "key"])
+
+        return run
+
+    brief = names.where(F.length("low") <= longest)
+    return tuple(brief.mapInPandas(cut_up(x), "id string, kind string, key string") for x in (True, False))
+
+
 def _confidence():
     na, nb, la, lb = F.col("na"), F.col("nb"), F.col("la"), F.col("lb")
     contained = (F.contains(lb, la) | F.contains(la, lb)) & (F.least(F.length(na), F.length(nb)) >= 4)

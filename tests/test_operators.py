@@ -122,3 +122,28 @@ def test_entry_contract():
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
+
+
+def test_duplicate_candidates_equal_all_pairs(spark):
+    import random
+
+    from docketeer.functions import text as T
+
+    rng = random.Random(3)
+    names = ["Alpha Beta Gamma Xylophonistically", "Alpha Beta Gamma Quintessentially", "Abcd", "Abxd", "abcd", "Abc"]
+    for _ in range(60):
+        low = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(3, 30))).strip() or "xyz"
+        names.append(low)
+        for _ in range(2):
+            slipped = list(low)
+            for _ in range(max(1, len(low) // 4)):
+                at, how = rng.randrange(len(slipped) + 1), rng.randrange(3)
+                slipped[at : at + (how > 0)] = [] if how == 1 else [rng.choice("qrstuvwxyz")]
+            names.append("".join(slipped).strip() or "xyz")
+    e = spark.createDataFrame([(f"i{k:03}", "Organization", n) for k, n in enumerate(names)], "id string, entity_type string, canonical_name string")
+    c = e.select("id", F.col("entity_type").alias("kind"), F.trim("canonical_name").alias("n"))
+    c = c.select("id", "kind", "n", F.lower("n").alias("l"), T.significant_tokens(F.col("n")).alias("t"))
+    every = c.toDF("id_a", "kind", "na", "la", "ta").crossJoin(c.toDF("id_b", "kind_b", "nb", "lb", "tb")).where("id_a < id_b")
+    want = {(r.id_a, r.id_b, r.rule) for r in every.select("id_a", "id_b", *R._confidence()).where("confidence >= 0.55").collect()}
+    got = {(r.id_a, r.id_b, r.rule) for r in R.duplicate_candidates(e).collect()}
+    assert ("i000", "i001", "words") in got and sum(x[2] == "edits" for x in want) > 20 and got == want
