@@ -1,46 +1,40 @@
 """Problem 2: variant spellings of one person's or organisation's name.
 
-Suffix blocking: the suffixes of a name's telling token, above a least length, are indexed together with the other
-field a variant must agree in (the initial of the given name). Blocks whose suffix is overly common are refined by more
-of the token rather than dropped. Pairs that share a block are compared by longest common subsequence.
+Suffix blocking: every token that tells a name (surname, given name, an organisation's own token) is indexed by its suffixes,
+read from either end, from half of its length on, so that a token with one slip keeps one of them whole. A suffix is refined by
+another field a variant must agree in (the initial of the given name, one of the other words). Suffixes that are overly common even so are discarded for keys
+that are refined by all fields (all ways to leave letters out of the token, the given name, the other words), which lose no
+pair that the comparison would accept. Pairs that share a key are compared by longest common subsequence.
+
+Given names, their short forms and the words organisations share are learned from the tables; none is listed here.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketeer.runtime import cut, lookup_side, map_arrow
 
-#: Least length of an indexed suffix, and of the longer one that replaces it in overly common blocks.
-SUFFIX, LONG_SUFFIX = 5, 8
+#: An indexed suffix has half of its token's letters, at most this many.
+SUFFIX = 5
 #: Names in a block beyond which its suffix counts as overly common.
 COMMON = 3_000
+#: Names in which a word must occur to be learned.
+LEAST = 3
 
 #: Fixed values.
-TITLES = frozenset("mr mrs ms miss dr hon atty prof sir judge agent officer counsel".split())
-NAME_ENDINGS = frozenset("jr sr ii iii iv esq".split())
-LEGAL_FORMS = frozenset("inc incorporated ltd limited llc llp lp corp corporation co company plc the and".split())
-NICKNAMES = {
-    "abigail": "abby", "alexander": "sasha sandy xander lex", "anthony": "tony", "bartholomew": "bart", "benedikt": "benny", "charles": "charlie chuck",
-    "christopher": "kit topher", "deborah": "debbie", "dorothy": "dot dottie dolly", "edward": "ned ted eddie", "eleanor": "nell ellie nora",
-    "elizabeth": "liz beth betty bess lizzie", "francesca": "frankie cesca", "frederick": "freddie fritz", "gerald": "jerry gerry", "henry": "hank harry hal",
-    "hyacinth": "cynth cindy", "irina": "rina", "isabella": "bella izzy", "james": "jim jimmy jamie", "jennifer": "jenny", "john": "jack johnny jon", "jose": "pepe",
-    "josephine": "josie", "katherine": "kate kathy katie kit", "leonard": "lenny leo", "margaret": "peggy maggie meg marge", "michael": "mike mick mickey",
-    "nathaniel": "nate", "octavian": "tavi", "ophelia": "lia", "patricia": "trish pat patty", "penelope": "penny", "quentin": "quin", "rebecca": "becky becca",
-    "richard": "dick rick", "robert": "bob rob bobby", "samuel": "sammy", "susan": "sue susie", "theodore": "ted teddy", "thomas": "tom tommy", "ulrich": "uli",
-    "victoria": "vicky tori", "wilhelmina": "mina willa", "william": "bill will billy", "yolanda": "yoli", "zacharias": "zack zach",
-}
-FULL_OF: dict[str, frozenset[str]] = {}
-for _full, _short in NICKNAMES.items():
-    for _s in _short.split():
-        FULL_OF[_s] = FULL_OF.get(_s, frozenset()) | {_full}
+TITLES = frozenset(["mr", "mrs", "ms", "miss", "dr", "hon", "atty", "prof", "sir", "judge", "agent", "officer", "counsel"])
+NAME_ENDINGS = frozenset(["jr", "sr", "ii", "iii", "iv", "esq"])
+LEGAL_FORMS = frozenset(["inc", "incorporated", "ltd", "limited", "llc", "llp", "lp", "corp", "corporation", "co", "company", "plc", "the", "and"])
 _LETTERS = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"})
 
 
@@ -89,17 +83,24 @@ class Parsed:
 
 
 class Parser:
-    """Reads names with the help of two word lists learned from the canonical names."""
+    """Reads names with the help of word lists learned from the names themselves."""
 
-    def __init__(self, given: set[str], trade: set[str]):
-        self.given, self.trade = given, trade
+    def __init__(self, given: set[str], trade: set[str], short: dict[str, frozenset] | None = None):
+        self.given, self.trade, self.short = given, trade, short or {}
+        self._sorted = sorted(given)
         self._words: dict[str, frozenset] = {}
+        self._full: dict[str, frozenset] = {}
 
     def full_given(self, t: str) -> frozenset:
         """The given names that ``t`` may stand for: itself, those it shortens, those that begin with it."""
-        if t in self.given:
-            return frozenset({t}) | FULL_OF.get(t, frozenset())
-        return FULL_OF.get(t, frozenset()) | ({g for g in self.given if g.startswith(t)} if len(t) > 1 else frozenset())
+        if t not in self._full:
+            known = self.short.get(t, frozenset())
+            if t in self.given:
+                known = known | {t}
+            elif len(t) > 1:
+                known = known | set(self._sorted[bisect_left(self._sorted, t) : bisect_left(self._sorted, t + "\uffff")])
+            self._full[t] = frozenset(known)
+        return self._full[t]
 
     def trade_words(self, t: str) -> frozenset:
         """The common words of organisations' names that ``t`` is, abbreviates or misspells."""
@@ -145,24 +146,65 @@ class Parser:
             return Parsed("P", ((initial, long[0]),))
         middle = next((t for t in words[1:] if len(t) == 1), "") if len(words[0]) > 1 else ""
         given, surname = long[0], "".join(long[1:])
-        if comma is not None or given in self.given or given in FULL_OF:
+        if comma is not None or given in self.given or given in self.short:
             return Parsed("P", ((given, surname),), middle)
         return Parsed("P", ((given, surname), (surname, given)), middle)
 
 
+def pieces(t: str) -> set[str]:
+    """A token's indexed suffixes ('<') and, read backwards, beginnings ('>'): of tokens that differ by one slip, one such piece is the same in both.
+
+    Tokens in which two slips are allowed have pieces of a third of their length as well, the middle one ('=') at each place to which slips before it can move it.
+    """
+    n = len(t)
+    out = {f"{end}{t[-h:] if end == '<' else t[:h]}" for h in {max(1, min(SUFFIX, k)) for k in ((n - 1) // 2, n // 2)} for end in "<>"}
+    if n >= 9:
+        for h in {min(SUFFIX, k) for k in ((n - 2) // 3, (n - 1) // 3, n // 3)}:
+            out |= {f"<{t[-h:]}", f">{t[:h]}"} | {f"={t[i : i + h]}" for i in range(h - 1, n - 2 * h + 2)}
+    return out
+
+
+#: Which side of a pair a key is for: the known names', the others', or either.
+BOTH, KNOWN, OTHER = "b", "k", "o"
+
+
 def block_keys(p: Parser, n: Parsed) -> list[tuple[str, str]]:
-    """(short, long) keys. A variant with one slip shares one of them: its telling token keeps its last or its first letters, or its given name."""
+    """(key, side): suffixes of the telling tokens from either end, refined by the initial of the given name or by a word that organisations share; of given names, refined by the surname."""
     if n.kind == "O":
-        out = [(f"o<{t[-SUFFIX:]}", f"o<{t[-LONG_SUFFIX:]}") for _, t in n.readings] + [(f"o>{t[:SUFFIX]}", f"o>{t[:LONG_SUFFIX]}") for _, t in n.readings]
-        return out + ([(f"oa{n.acronym}", f"oa{n.acronym}")] if n.acronym else [])
+        shared = {w for ws in n.words for w in ws} or {""}
+        out = [(f"o{piece} {w}", BOTH) for _, t in n.readings for piece in pieces(t) for w in shared]
+        if n.acronym:
+            # an acronym meets names in full, and names in full don't meet by it
+            out += [(f"oa{n.acronym}", KNOWN), (f"oA{n.acronym}", OTHER)] if n.readings else [(f"oA{n.acronym}", KNOWN), (f"oa{n.acronym}", OTHER)]
+        return out
     out = []
     for g, s in n.readings:
         full = p.full_given(g)
         for i in {g[0]} | {f[0] for f in full}:
-            out += [(f"p<{i}{s[-SUFFIX:]}", f"p<{i}{s[-LONG_SUFFIX:]}"), (f"p>{i}{s[:SUFFIX]}", f"p>{i}{s[:LONG_SUFFIX]}")]
-        # the given name's suffix is overly common by nature, so it is refined by the surname from the start
-        for f in full or ({g} if len(g) > 1 else ()):
-            out.append((f"pg{f[-SUFFIX:]} {s[:3]}", f"pg{f} {s[:4]} {s[-2:]}"))
+            out += [(f"p{piece[0]}{i}{piece[1:]}", BOTH) for piece in pieces(s)]
+        if len(g) > 1:
+            out += [(f"pg{piece} {s[:3]}", BOTH) for f in full | {g} for piece in pieces(f) if piece[0] == "<"]
+    return list(dict.fromkeys(out))
+
+
+def left_out(t: str, slips: int) -> set[str]:
+    """The token with up to ``slips`` letters left out: two tokens with no more slips between them share one."""
+    return {"".join(t[i] for i in range(len(t)) if i not in gone) for k in range(slips + 1) for gone in combinations(range(len(t)), k)}
+
+
+def refined_keys(p: Parser, n: Parsed, key: str) -> list[tuple[str, str]]:
+    """(key, side) that take an overly common key's place: refined by all that the comparison asks for, so that no pair it accepts is lost."""
+    if key[:2] in ("oa", "oA"):
+        return [(key, OTHER if (key[1] == "A") == bool(n.readings) else KNOWN)]
+    if n.kind == "O":
+        return [(f"{key}|{v}", BOTH) for _, t in n.readings for v in left_out(t, 2 if len(t) >= 9 else 1)]
+    out = []
+    for g, s in n.readings:
+        sides = [("1", KNOWN), ("1", OTHER), ("2", OTHER)] if len(g) == 1 else [("2", KNOWN), ("1", OTHER)]
+        given = {v for f in p.full_given(g) | {g} for v in left_out(f, 2 if len(f) >= 9 else 1)} if len(g) > 1 else set()
+        for v in left_out(s, 2 if len(s) >= 9 else 1):
+            # names with an initial only meet all others; these meet by their given names
+            out += [(f"{key}|{v}|{x}", side) for x, side in sides] + [(f"{key}|{v}|{x}=", BOTH) for x in given]
     return list(dict.fromkeys(out))
 
 
@@ -207,55 +249,142 @@ def same(p: Parser, a: Parsed, b: Parsed) -> float:
     return best
 
 
-def _lexicon(entities: DataFrame, kind: str, least: int, share: float, first: bool) -> set[str]:
-    """Words that recur among the canonical names. A word's share bounds how many there can be: at most words per name / share."""
-    names = entities.where(F.col("entity_type") == kind).select("canonical_name").distinct()
-    n = names.count()
-    words = F.split(F.lower("canonical_name"), r"\s+")
-    words = F.slice(words, 1, 1) if first else F.filter(words, lambda w, i: i > 0)
-    counts = names.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").count().where((F.col("count") >= least) & (F.col("count") >= share * n))
-    return {re.sub(r"[^\w]", "", fold(r["w"])) for r in counts.select("w").collect()}
+def _words_in(name: str) -> Column:
+    """A name's words in plain lower-case letters; commas and full stops leave, accents stay until they are folded."""
+    return F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{M}\p{N}\s]", ""), r"\s+"), lambda w: w != "")
+
+
+def _without_variants(counts: dict[str, int], shortened, ratio: int = 5) -> dict[str, int]:
+    """Words that are no slip in, and not ``shortened`` from, another word ``ratio`` times as frequent."""
+    near_by: dict[str, list[str]] = {}
+    for w in counts:
+        for v in left_out(w, 1):
+            near_by.setdefault(v, []).append(w)
+    starts: dict[str, list[str]] = {}
+    for w in counts:
+        starts.setdefault(w[0], []).append(w)
+    out = {}
+    for w, n in counts.items():
+        if not any(counts[x] >= ratio * n and near(w, x) for v in left_out(w, 1) for x in near_by[v]) and not any(counts[x] >= ratio * n and shortened(w, x) for x in starts[w[0]]):
+            out[w] = n
+    return out
 
 
-def link_names(entities: DataFrame, extracted: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+def given_names(persons: DataFrame) -> dict[str, int]:
+    """Given names, with their counts, of ``persons`` (name): words that begin LEAST names or more with different ends, and oftener begin names than end them.
+
+    The rule knows no share of the table, so unrelated names change nothing. A name has one given name, and given names are few against names.
+    """
+    plain = persons.where("name is not null and name not like '%,%'").select(F.filter(_words_in("name"), lambda w: ~w.isin(sorted(TITLES | NAME_ENDINGS))).alias("w")).where("size(w) > 1")
+    ends = plain.select(F.col("w")[0].alias("a"), F.element_at("w", -1).alias("b")).where("length(a) > 1 and length(b) > 1").distinct()
+    first, last = ends.groupBy(F.col("a").alias("w")).agg(F.count("*").alias("n")), ends.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("m"))
+    kept = first.where(F.col("n") >= LEAST).join(last, "w", "left").where("n >= 2 * coalesce(m, 0)")
+    counts: dict[str, int] = {}
+    for r in kept.select("w", "n").toLocalIterator():
+        counts[fold(r["w"])] = counts.get(fold(r["w"]), 0) + r["n"]
+    return _without_variants(counts, lambda w, x: len(w) < len(x) and x.startswith(w))
+
+
+def trade_words(organisations: DataFrame) -> set[str]:
+    """Words that follow LEAST or more different first words in names of ``organisations`` (name)."""
+    words = organisations.where("name is not null").select(F.filter(_words_in("name"), lambda w: ~w.isin(sorted(LEGAL_FORMS))).alias("w")).where("size(w) > 1")
+    pairs = words.select(F.col("w")[0].alias("a"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("b")).distinct()
+    counts: dict[str, int] = {}
+    for r in pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).toLocalIterator():
+        w = re.sub(r"[^\w]", "", fold(r["b"]))
+        if w:
+            counts[w] = counts.get(w, 0) + r["n"]
+    return set(_without_variants(counts, lambda w, x: len(w) < len(x) - 1 and lcs(w, x) == len(w))) - LEGAL_FORMS
+
+
+def short_forms(entities: DataFrame, extracted: DataFrame, mentions: DataFrame | None, given: dict[str, int], least: int = 2, share: float = 0.2) -> dict[str, frozenset]:
+    """Short form -> given names it stands for: it stands with the same surname as they do, as an alias, in a document that mentions that
+    person, or where no other given name has that surname, for ``least`` surnames or more and in ``share`` of its such cases. Slips and
+    beginnings of a given name aren't learned."""
+
+    def ends(df: DataFrame, name: str, *keep: str) -> DataFrame:
+        words = F.filter(_words_in(name), lambda w: (F.length(w) > 1) & ~w.isin(sorted(TITLES | NAME_ENDINGS)))
+        turned = F.when(F.col(name).contains(","), F.array_append(F.slice(words, 2, 9), words[0])).otherwise(words)
+        return df.where(f"{name} is not null").select(*keep, turned.alias("w")).where("size(w) = 2").select(*keep, F.col("w")[0].alias("g"), F.col("w")[1].alias("s")).distinct()
+
+    persons = entities.where("entity_type = 'Person'")
+    known = ends(persons, "canonical_name", "id")
+    # a surname that many share has several given names, so this join has one row for each record
+    only = known.select("s", "g").distinct().groupBy("s").agg(F.min("g").alias("g"), F.count("*").alias("n")).where("n = 1").select("s", "g")
+    others = ends(extracted.where("entity_type = 'Person'"), "raw_name").toDF("short", "s")
+    parts = [others.join(only, "s").select("short", "g", "s")]
+    if "aliases" in entities.columns:
+        alias = ends(persons.select("id", F.explode("aliases").alias("alias")), "alias", "id").toDF("id", "short", "s")
+        parts.append(alias.join(known, ["id", "s"]).select("short", "g", "s"))
+    if mentions is not None:
+        records = ends(extracted.where("entity_type = 'Person' and document_id is not null"), "raw_name", "document_id").toDF("document_id", "short", "s")
+        there = mentions.select("document_id", F.col("entity_id").alias("id")).distinct().join(known, "id").select("document_id", "g", "s")
+        parts.append(records.join(there, ["document_id", "s"]).select("short", "g", "s"))
+    seen = parts[0]
+    for p in parts[1:]:
+        seen = seen.unionByName(p)
+    counts = cut(seen.where("short <> g").distinct().groupBy("short", "g").agg(F.count("*").alias("n")))
+    total = counts.groupBy("short").agg(F.sum("n").alias("all"))
+    # few: pairs of given names, whatever the number of persons
+    out: dict[str, set] = {}
+    for r in counts.where(F.col("n") >= least).join(total, "short").where(F.col("n") >= share * F.col("all")).toLocalIterator():
+        a, b = fold(r["short"]), fold(r["g"])
+        if given.get(b, 0) > given.get(a, 0) and not near(a, b) and not b.startswith(a):
+            out.setdefault(a, set()).add(b)
+    return {a: frozenset(bs) for a, bs in out.items()}
+
+
+def link_names(entities: DataFrame, extracted: DataFrame, mentions: DataFrame | None = None, nicknames: dict[str, frozenset] | None = None, common: int = COMMON) -> DataFrame:
     """(id_a, id_b, score), id_a < id_b: records of one person or organisation whose names aren't equal character for character.
 
     Both in ``entities`` (id, entity_type, canonical_name), or one in ``extracted`` (id, entity_type, raw_name, document_id). Names are compared
     once for each distinct spelling, then spread to their records. An acronym is linked to the organisation with these initials that is mentioned in
-    the record's document (``mentions``: entity_id, document_id), or to the only one there is. Null, blank and non-name values,
-    other types and empty tables give no rows; repeated rows count once.
+    the record's document (``mentions``: entity_id, document_id), or to the only one there is. ``nicknames`` (short form -> given names) takes
+    the place of the short forms learned from the tables. ``common`` decides when keys are refined and never changes the pairs. Null, blank and
+    non-name values, other types and empty tables give no rows; repeated rows count once.
     """
     spark = entities.sparkSession
-    given = _lexicon(entities, "Person", 3, 0.002, True)
-    trade = _lexicon(entities, "Organization", 3, 0.004, False) - LEGAL_FORMS - {""}
     ents = entities.where(F.col("entity_type").isin("Person", "Organization")).select("id", F.col("entity_type").alias("kind"), F.col("canonical_name").alias("name")).distinct()
+    counts, trade = given_names(ents.where("kind = 'Person'")), trade_words(ents.where("kind = 'Organization'"))
+    short, given = short_forms(entities, extracted, mentions, counts) if nicknames is None else nicknames, set(counts)
     kinds = F.when(F.col("entity_type").isin("Person", "Organization"), F.col("entity_type")).when(F.col("entity_type").isin("Location", "Aircraft"), F.lit("-")).otherwise(F.lit("?"))
     xtrs = extracted.select("id", kinds.alias("kind"), F.col("raw_name").alias("name"), "document_id").where("kind <> '-'").distinct()
     named = "name is not null and trim(name) <> ''"
     spellings = ents.where(named).select("kind", "name").distinct().withColumn("known", F.lit(True)).unionByName(xtrs.where(named).select("kind", "name").distinct().withColumn("known", F.lit(False)))
     spellings = spellings.groupBy("kind", "name").agg(F.max("known").alias("known"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Parser(given, trade)
-        for batch in batches:
-            rows = []
-            for kind, name, known in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                parsed = p.parse(name, None if kind == "?" else kind)
-                if parsed:
-                    rows += [(kind, name, known, s, long) for s, long in block_keys(p, parsed)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["kind", "name", "known", "short", "long"])
-
-    keyed = cut(map_arrow(spellings, keys, "kind string, name string, known boolean, short string, long string"))
-    sizes = keyed.groupBy("short").agg(F.count("*").alias("size")).where(F.col("size") > COMMON).select("short", F.lit(True).alias("common"))
-    keyed = keyed.join(lookup_side(sizes), "short", "left").select("kind", "name", "known", F.when(F.col("common"), F.col("long")).otherwise(F.col("short")).alias("block"))
-    known = keyed.where("known").select("block", F.col("kind").alias("kind_a"), F.col("name").alias("name_a"))
-    other = keyed.select("block", F.col("kind").alias("kind_b"), F.col("name").alias("name_b"), F.col("known").alias("known_b"))
-    # a pair of known names comes up from both sides; one is enough
-    pairs = known.join(other, "block").where("name_a <> name_b and (not known_b or kind_b = '?' or name_a < name_b)").select("kind_a", "name_a", "kind_b", "name_b").distinct()
+    def keyed_by(fields: int, keys_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = Parser(given, trade, short)
+            for batch in batches:
+                rows = []
+                for kind, name, known, *key in zip(*(batch.column(i).to_pylist() for i in range(fields)), strict=True):
+                    parsed = p.parse(name, None if kind == "?" else kind)
+                    if parsed:
+                        rows += [(kind, name, known, k, side) for k, side in keys_of(p, parsed, *key) if known or side != KNOWN]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 2 else pa.string()) for i, c in enumerate(cols)], names=["kind", "name", "known", "key", "side"])
+
+        return run
+
+    # the work is in the names rather than in their bytes: as many tasks as cores, so that AQE doesn't join them into one
+    tasks = max(spark.sparkContext.defaultParallelism, spellings.count() // 20_000)
+    ddl = "kind string, name string, known boolean, key string, side string"
+    keyed = cut(map_arrow(spellings.repartition(tasks), keyed_by(3, block_keys), ddl))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > common).select("key", F.lit(True).alias("common"))
+    sized = keyed.join(lookup_side(cut(sizes)), "key", "left")
+    refined = sized.where("common").select("kind", "name", "known", "key").distinct()
+    refined = map_arrow(refined, keyed_by(4, refined_keys), ddl)
+    keyed = sized.where("common is null").select("kind", "name", "known", "key", "side").unionByName(refined)
+    known = keyed.where(f"known and side <> '{OTHER}'").select("key", F.col("kind").alias("kind_a"), F.col("name").alias("name_a"))
+    other = keyed.where(f"side <> '{KNOWN}'").select("key", F.col("kind").alias("kind_b"), F.col("name").alias("name_b"), F.col("known").alias("known_b"))
+    # a pair of known names that meet by a key for both sides comes up from both; one is enough
+    met = known.join(other, "key").where("name_a <> name_b")
+    swap = (F.col("known_b") & (F.col("kind_b") != "?") & (F.col("name_a") > F.col("name_b")))
+    pairs = met.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("kind_a", "kind_b"), ("name_a", "name_b"))], *[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("kind_a", "kind_b"), ("name_a", "name_b"))]).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Parser(given, trade)
+        p = Parser(given, trade, short)
         seen: dict[tuple, Parsed | None] = {}
 
         def parsed(kind: str, name: str) -> Parsed | None:

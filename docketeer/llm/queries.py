@@ -62,25 +62,27 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages, table(spark, d, "documents")))
 
 
-def _personal(spark: SparkSession, d: str):
+def _personal(spark: SparkSession, d: str, scanned: bool):
     from docketeer.llm.personal_data import train
 
-    pages = table(spark, d, "document_pages").where("not ocr_used")
-    texts = pages.select(F.lit("document_pages").alias("table_name"), F.col("id").alias("record_id"), F.col("final_text").alias("text"))
-    texts = texts.unionByName(table(spark, d, "mentions").select(F.lit("mentions").alias("table_name"), F.col("id").alias("record_id"), F.col("context_text").alias("text")))
-    return texts, train(pages, table(spark, d, "entities"))
+    pages, mentions, entities = table(spark, d, "document_pages"), table(spark, d, "mentions"), table(spark, d, "entities")
+    clean = pages.where("not ocr_used")
+    texts = (pages if scanned else clean).select(F.lit("document_pages").alias("table_name"), F.col("id").alias("record_id"), (F.coalesce("final_text", "ocr_text") if scanned else F.col("final_text")).alias("text"))
+    texts = texts.unionByName(mentions.select(F.lit("mentions").alias("table_name"), F.col("id").alias("record_id"), F.col("context_text").alias("text")))
+    return texts, train(clean, entities, table(spark, d, "extracted_entities"), mentions)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from docketeer.llm.personal_data import find_spans
 
-    return find_spans(*_personal(spark, d))
+    return find_spans(*_personal(spark, d, scanned=False))
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every page and mention with placeholders; scanned pages without a final text have what the scanner read."""
     from docketeer.llm.personal_data import redact_texts
 
-    return redact_texts(*_personal(spark, d))
+    return redact_texts(*_personal(spark, d, scanned=True))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

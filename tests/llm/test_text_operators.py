@@ -20,11 +20,53 @@ def test_name_variants(spark):
         "x6": ("Organization", "Quorvex Marine", "ent-o0"), "x7": ("Organization", "the Zanthor Summ Media", "ent-o1"), "x8": ("Organization", "Marine Freight Meldrake", "ent-o2"), "x9": (None, "Pondrick Summit Frieght Limited", "ent-o3"), "x10": ("Person", "Exhibit A", None), "x11": ("Person", None, None), "x12": ("Person", "", None), "x13": ("Location", "Margaret Hallowey", None),
     }
     xtr = spark.createDataFrame([(f"xtr-{k}", t, n, "d") for k, (t, n, _) in variants.items()], "id string, entity_type string, raw_name string, document_id string")
-    got = {(r.id_a, r.id_b) for r in name_links.link_names(registry(spark), xtr).collect()}
-    assert got == {(e, f"xtr-{k}") for k, (_, _, e) in variants.items() if e}
+    for common in (name_links.COMMON, 2, 0):
+        # refining common keys changes no pair
+        got = {(r.id_a, r.id_b) for r in name_links.link_names(registry(spark), xtr, nicknames={"peggy": frozenset({"margaret"})}, common=common).collect()}
+        assert got == {(e, f"xtr-{k}") for k, (_, _, e) in variants.items() if e}, common
     assert name_links.link_names(registry(spark).limit(0), xtr.limit(0)).count() == 0
 
 
+def test_no_pair_within_the_slips_is_lost():
+    import random
+
+    rng = random.Random(3)
+    p = name_links.Parser({"margaret"}, set())
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 13)))
+        b = list(a)
+        for _ in range(2 if len(a) > 10 else 1):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[], [rng.choice("klm")], [b[i], rng.choice("klm")]])
+        b = "".join(b)
+        if not name_links.near(a, b):
+            continue
+        assert name_links.pieces(a) & name_links.pieces(b), (a, b)
+        x, y = (p.parse(f"{g} {s}", "Person") for g, s in (("Margaret", a), ("M.", b)))
+        if name_links.same(p, x, y):
+            key = next(k for k, _ in name_links.block_keys(p, x) if k in dict(name_links.block_keys(p, y)))
+            # the two names meet from one side each
+            for first, second in ((x, y), (y, x)):
+                known = {k for k, side in name_links.refined_keys(p, first, key) if side != name_links.OTHER}
+                assert known & {k for k, side in name_links.refined_keys(p, second, key) if side != name_links.KNOWN}
+
+
+def test_short_forms_are_learned(spark):
+    ents = spark.createDataFrame([(f"e{i}", "Person", f"Margaret {s}", [f"Peggy {s}"] if i < 2 else None) for i, s in enumerate(SURNAMES)] + [("e9", "Person", "Theodore Zabel", None), ("e10", "Person", "Anthony Zabel", [])], "id string, entity_type string, canonical_name string, aliases array<string>")
+    xtr = spark.createDataFrame([("x1", "Person", "Ted Zabel", "d1"), ("x2", "Person", "Meg Drummond", "d2"), ("x3", "Person", "Ellsworth, Meg", "d3"), ("x4", None, None, None)], "id string, entity_type string, raw_name string, document_id string")
+    men = spark.createDataFrame([("e9", "d1"), ("e9", None)], "entity_id string, document_id string")
+    given = name_links.given_names(ents.select(ents.canonical_name.alias("name")))
+    assert given == {"margaret": 6}
+    assert name_links.short_forms(ents, xtr, men, given) == {"peggy": frozenset({"margaret"}), "meg": frozenset({"margaret"})}
+
+
+def test_unrelated_names_change_no_word(spark):
+    names = [f"{g} {s}" for g in GIVEN for s in SURNAMES]
+    more = [f"Nobody{i} Unseen{i}" for i in range(40 * len(names))]
+    few, many = ({k for k in name_links.given_names(spark.createDataFrame([(n,) for n in ns], "name string"))} for ns in (names, names + more))
+    assert few == many == {g.lower() for g in GIVEN}
+
+
 def test_lcs_against_dynamic_programming():
     import random
 
@@ -50,9 +92,10 @@ def test_personal_data(spark):
     lines = []
     for i, g in enumerate(GIVEN * 6):
         s = SURNAMES[i % 6]
-        lines.append((f"p{i}", f"Contact: {g} {s}, phone (212) 555-01{i:02}. The passport XK12345{i:02} belongs to {g[0]}. {s}. Reference 2610 2528 12{i:02} on page 4. Quorvex Marine Media Ltd met Judge {s} at Alder Harbor on 2020-01-{i % 28 + 1:02}. She lives at {i + 3} Elm Street, Dover 00{i:03}."))
+        lines.append((f"p{i}", f"Contact: {g} {s}, phone (212) 555-01{i:02}. The passport {f'XK12345{i:02}' if i % 2 else f'912-34-56{i:02}'} belongs to {g[0]}. {s}. Reference 2610 2528 12{i:02} on page 4. Quorvex Marine Media Ltd met Judge {s} at Alder Harbor on 2020-01-{i % 28 + 1:02}. She lives at {i + 3} Elm Street, Dover 00{i:03}."))
     pages = spark.createDataFrame([*lines, ("q", None), ("r", "")], "id string, final_text string")
-    r = personal_data.train(pages, registry(spark))
+    none = spark.createDataFrame([], "id string, entity_type string, raw_name string, document_id string"), spark.createDataFrame([], "entity_id string, document_id string")
+    r = personal_data.train(pages, registry(spark), *none)
     text = "Write to a.b@mail.example or a.b (at) mail (dot) example; Margaret J. Halloway, (212) 555-0199. ID XK9999999. Reference 2610 2528 1299. Judge Drummond of Alder Harbor knew Brinkmann, Theodore. Quorvex Marine Media Ltd."
     got = {(k, text[s:e]) for s, e, k in r.spans(text)}
     assert got == {("email", "a.b@mail.example"), ("email", "a.b (at) mail (dot) example"), ("person_name", "Margaret J. Halloway"), ("phone", "(212) 555-0199"), ("id_number", "XK9999999"), ("person_name", "Brinkmann, Theodore")}
