@@ -114,7 +114,7 @@ def test_subjects_flow_to_unlabelled_documents(spark):
     docs = [(i, doc(law, 4)) for i in range(8)] + [(i, doc(sea, 4)) for i in range(8, 16)] + [(20, doc(law, 3)), (21, doc(sea, 1)), (22, doc(law, 3) + " " + doc(sea, 3)), (23, None), (24, ""), (25, "Nothing else was said.")]
     labels = [(i, "law") for i in range(6)] + [(i, "sea") for i in range(8, 14)] + [(7, None), (999, "law"), (0, "sea")]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
-    got = {(r.doc_id, r.subject) for r in subjects.subjects(d, lab).collect()}
+    got = {(r.doc_id, r.subject) for r in subjects.subjects(d, lab, least_z=2.0).collect()}
     assert got == {(i, "law") for i in range(8)} | {(i, "sea") for i in range(8, 16)} | {(20, "law"), (22, "law"), (22, "sea")}
     assert subjects.subjects(d, lab.limit(0)).count() == 0
 
