@@ -1,9 +1,9 @@
 """Problem 4: lines that return in document after document of one source.
 
-Every line variant of a source has its documents as compressed bitmap containers (2**15 documents each: an array of
-positions while sparse, a bitmap once dense). The containers of variants that differ only in case, spacing,
-punctuation, digits and month names are united, exact cardinalities are held against the thresholds, and
-lines are deleted by looking up their key.
+Every line variant of a source has its documents as compressed bitmap containers of 2**15 documents each: the array of
+positions while these are few, a bitmap where they are many. The containers of variants that differ only in case, spacing,
+punctuation, digits and month names are united, in the form that their number calls for; exact cardinalities are held
+against the thresholds, and lines are deleted by looking up their key.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from docketeer.runtime import cut, lookup_side
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 #: Documents per container; 2**15 bits, the size of Spark's own bitmaps.
 SPAN = 32768
+#: Positions from which on a container is a bitmap: as an array of two bytes each it would be as long as that.
+DENSE = 2048
 
 
 def line_key(line: Column) -> Column:
@@ -31,6 +33,24 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
+def cardinalities(containers: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(source_tag, key, span, n): documents in the union of the variants' containers (source_tag, key, variant, span, docs).
+
+    Unions of up to ``dense`` positions in all are made on arrays, so no more is ever gathered for one; larger ones on bitmaps, which are built
+    position by position in each task and joined by their bits. A single variant needs no union.
+    """
+    by = ["source_tag", "key", "span"]
+    sizes = containers.groupBy(*by).agg(F.count("*").alias("variants"), F.sum(F.size("docs")).alias("all"))
+    alone = sizes.where("variants = 1").select(*by, F.col("all").cast("bigint").alias("n"))
+    several = sizes.where("variants > 1")
+    few = containers.join(several.where(F.col("all") <= dense).select(*by), by, "left_semi")
+    arrays = few.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs")).select(*by, F.size("docs").cast("bigint").alias("n"))
+    many = containers.join(lookup_side(several.where(F.col("all") > dense).select(*by)), by, "left_semi")
+    bits = many.select(*by, "variant", F.explode("docs").alias("at")).groupBy(*by, "variant").agg(F.bitmap_construct_agg(F.col("at").cast("bigint")).alias("bits"))
+    bitmaps = bits.groupBy(*by).agg(F.bitmap_or_agg("bits").alias("bits")).select(*by, F.bitmap_count("bits").alias("n"))
+    return alone.unionByName(arrays).unionByName(bitmaps)
+
+
 def repeated_lines(pages: DataFrame, documents: DataFrame, min_docs: int = 3, min_share: float = 0.10, where: str = "not ocr_used") -> DataFrame:
     """(page_id, line_no, source_tag, n_docs, n_tag): lines found in at least ``min_docs`` documents and ``min_share`` of all documents of their tag.
 
@@ -50,8 +70,7 @@ def repeated_lines(pages: DataFrame, documents: DataFrame, min_docs: int = 3, mi
         lines.groupBy("source_tag", "key", "variant", F.expr(f"number div {SPAN}").alias("span"))
         .agg(F.array_sort(F.collect_set(F.expr(f"cast(number % {SPAN} as smallint)"))).alias("docs"))
     )
-    united = containers.groupBy("source_tag", "key", "span").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
-    totals = united.groupBy("source_tag", "key").agg(F.sum(F.size("docs")).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    totals = cardinalities(cut(containers)).groupBy("source_tag", "key").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     excess = cut(totals.join(lookup_side(sizes), "source_tag").where(F.col("n_docs") >= F.lit(float(min_share)) * F.col("n_tag")))
     # a tag has at most (lines per document) / min_share such keys; the size is checked all the same
     return lines.join(lookup_side(excess), ["source_tag", "key"]).select("page_id", "line_no", "source_tag", "n_docs", "n_tag")

@@ -5,7 +5,7 @@ import random
 
 from docketeer.llm.cooccurrence import associations
 from docketeer.llm.group_matches import connected_groups, tied_pairs
-from docketeer.llm.repeated_lines import line_key, repeated_lines, without_lines
+from docketeer.llm.repeated_lines import cardinalities, line_key, repeated_lines, without_lines
 
 
 def brute_groups(pairs):
@@ -83,3 +83,15 @@ def test_repeated_lines(spark):
 def test_line_key(spark):
     df = spark.createDataFrame([("Retrieved on 3 March 2020!",), ("retrieved ON 1 May",), ("2020-01-01 ...",)], "l string")
     assert [r[0] for r in df.select(line_key(df.l)).collect()] == ["retrievedon", "retrievedon", ""]
+
+
+def test_unions_in_either_form(spark):
+    rng = random.Random(5)
+    rows = [("s", b"k%d" % (i % 5), i, i % 2, sorted(rng.sample(range(32768), rng.randrange(1, 60)))) for i in range(40)] + [("s", b"one", 99, 0, [0, 32767])]
+    df = spark.createDataFrame(rows, "source_tag string, key binary, variant long, span long, docs array<int>")
+    df = df.withColumn("docs", df.docs.cast("array<smallint>"))
+    want = {}
+    for s, k, _, span, docs in rows:
+        want.setdefault((s, k, span), set()).update(docs)
+    for dense in (0, 40, 100_000):
+        assert {(r.source_tag, bytes(r.key), r.span): r.n for r in cardinalities(df, dense).collect()} == {k: len(v) for k, v in want.items()}, dense
