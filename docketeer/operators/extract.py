@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docketeer.functions import lists
 from docketeer.functions import text as T
-from docketeer.runtime import map_arrow
+from docketeer.runtime import map_arrow, ship
 
 _OUT = "document_id string, page_number int, entity_type string, raw_name string, char_start int, char_end int, context string, confidence double"
 
@@ -75,6 +75,21 @@ def typed_relationships(pages: DataFrame, mentions: DataFrame, entities: DataFra
     return both.groupBy("document_id", "a", "b").agg(F.max_by("kind", "confidence").alias("kind"), F.max("confidence").alias("confidence"))
 
 
+def upsert_relationships(typed: DataFrame) -> DataFrame:
+    """(a, b, kind, confidence, document_id, weight, doc_count): the best kind of each pair over all documents, of equal ones the last document's."""
+    best = typed.groupBy("a", "b").agg(F.max_by(F.struct("kind", "confidence", "document_id"), F.struct("confidence", "document_id")).alias("s"))
+    return best.select("a", "b", "s.kind", "s.confidence", "s.document_id", F.lit(1).alias("weight"), F.lit(1).alias("doc_count"))
+
+
+def merge_found(regex: DataFrame, model: DataFrame) -> DataFrame:
+    """Regular expressions' and a model's findings (as regex_entities) in one table: where the model covers a type at all in a document's page, the
+    expressions' findings of that type count only where the model found nothing that overlaps; noise leaves both."""
+    key = ["document_id", "page_number", "entity_type"]
+    hit = model.select(*key, F.col("char_start").alias("s"), F.col("char_end").alias("e"))
+    extra = regex.join(hit, key, "left").groupBy(*regex.columns).agg(F.max(F.coalesce((F.col("char_start") < F.col("e")) & (F.col("s") < F.col("char_end")), F.lit(False))).alias("met")).where("not met").drop("met")
+    return model.unionByName(extra).where(~T.extractor_noise(F.col("raw_name"), F.col("entity_type")))
+
+
 def heuristic_claims(pages: DataFrame, mentions: DataFrame, entities: DataFrame, per_page: int = 50) -> DataFrame:
     """(document_id, page_number, sentence_no, claim_text, names): sentences of 30 characters or more that hold two names known from the document.
 
@@ -93,7 +108,8 @@ def heuristic_claims(pages: DataFrame, mentions: DataFrame, entities: DataFrame,
 
 
 def statement_claims(texts: DataFrame, key: str = "id", text: str = "text", most: int = 8) -> DataFrame:
-    """(key, no, subject, predicate, object, claim_type, polarity): who stated, denied, met or travelled, by five sentence shapes; at most ``most`` of a passage."""
+    """(key, passage, no, subject, predicate, object, claim_type, polarity): who stated, denied, met or travelled, by five sentence shapes; at most ``most`` of each
+    passage of the text, as the rule has it. Null and empty texts have none."""
     shapes = [
         (r"according to ([A-Z][A-Za-z .'\-]+),\s*(.+?)[.;]", "stated", "statement", "affirmed"), (r"([A-Z][A-Za-z .'\-]+) stated that (.+?)[.;]", "stated", "statement", "affirmed"),
         (r"([A-Z][A-Za-z .'\-]+) denied (.+?)[.;]", "denied", "denial", "denied"), (r"([A-Z][A-Za-z .'\-]+) met with ([A-Z][A-Za-z .'\-]+)", "met_with", "meeting", "affirmed"),
@@ -105,4 +121,6 @@ def statement_claims(texts: DataFrame, key: str = "id", text: str = "text", most
         return F.transform(pairs, lambda p: F.struct(p["s"].alias("subject"), F.lit(predicate).alias("predicate"), F.substring(F.trim(p["o"]), 1, 200).alias("object"), F.lit(kind).alias("claim_type"), F.lit(polarity).alias("polarity")))
 
     every = F.slice(F.flatten(F.array(*[hits(*s) for s in shapes])), 1, most)
-    return texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(every).alias("no", "c")).select("key", "no", "c.*")
+    ship(texts.sparkSession)
+    cut_up = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(T.passages(F.col(text))).alias("passage", "p")).select("key", "passage", F.col("p.passage").alias(text))
+    return cut_up.select("key", "passage", F.posexplode(every).alias("no", "c")).select("key", "passage", "no", "c.*")

@@ -61,6 +61,37 @@ def degrees(edges: DataFrame) -> DataFrame:
     return deg.crossJoin(F.broadcast(top)).select("id", "degree", (F.col("degree") / F.col("top")).alias("centrality"))  # a one-row side
 
 
+def degree_share(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, degree, centrality): neighbours, and their share of all others, of ``nodes`` (id) and of what the edges name; vertices without edges have 0."""
+    ids = nodes.select("id").where("id is not null").unionByName(edges.select(F.col("a").alias("id"))).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    deg = both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+    n = ids.agg(F.count("*").alias("n"))
+    out = ids.join(deg, "id", "left").fillna(0, ["degree"]).crossJoin(F.broadcast(n))  # a one-row side
+    return out.select("id", "degree", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0).alias("centrality"))
+
+
+def metrics_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, degree, pagerank, betweenness, eigenvector, influence): .40 PageRank, .35 betweenness and .25 eigenvector, each of its largest; all by id.
+    Vertices without edges have only zeros."""
+    out = degree_share(edges, nodes).select("id", "degree")
+    parts = {"pagerank": pagerank(edges).toDF("id", "pagerank"), "betweenness": betweenness(edges), "eigenvector": eigenvector(edges).toDF("id", "eigenvector")}
+    score = F.lit(0.0)
+    for (name, df), weight in zip(parts.items(), (0.40, 0.35, 0.25), strict=True):
+        df = cut(df)
+        top = df.agg(F.max(name).alias(f"top_{name}"))
+        out = out.join(df, "id", "left").fillna(0.0, [name]).crossJoin(F.broadcast(top))  # a one-row side
+        score = score + weight * F.when(F.col(f"top_{name}") > 0, F.col(name) / F.col(f"top_{name}")).otherwise(0.0)
+    return out.select("id", "degree", "pagerank", "betweenness", "eigenvector", score.alias("influence"))
+
+
+def top_by(report: DataFrame, metric: str, names: DataFrame, kind: str | None = None, top: int = 20) -> DataFrame:
+    """(id, canonical_name, entity_type, value): the ``top`` by a metric; the type is filtered after the metric was scaled over all."""
+    rows = report.select("id", F.col(metric).alias("value")).join(names.select("id", "canonical_name", "entity_type"), "id")
+    if kind is not None:
+        rows = rows.where(F.col("entity_type") == kind)
+    return rows.orderBy(F.desc("value"), "id").limit(top)
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
     """(start, id, depth): what the asked vertices (id) reach within ``hops`` (at most 4), each at its least depth."""
     near = both_ways(edges).select("a", "b")
@@ -334,21 +365,21 @@ def brokers(edges: DataFrame, groups: DataFrame, scores: DataFrame) -> DataFrame
     return scores.join(spans, "id", "left").select("id", "betweenness", F.coalesce("bridged", F.lit(0)).alias("bridged"))
 
 
-def gatekeepers(edges: DataFrame, mentions: DataFrame, min_degree: int = 3) -> DataFrame:
+def gatekeepers(edges: DataFrame, mentions: DataFrame, min_degree: int = 3, least: float = 0.3) -> DataFrame:
     """Leads: many ties for few mentions."""
     deg = degrees(edges).where(F.col("degree") >= min_degree)
     m = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("m"))
     score = F.least(F.lit(0.99), F.col("centrality") / (1 + 0.15 * F.col("m")))
-    return deg.join(m, "id").select("id", F.lit("gatekeeper").alias("lead"), score.alias("confidence")).where("confidence >= 0.3")
+    return deg.join(m, "id").select("id", F.lit("gatekeeper").alias("lead"), score.alias("confidence")).where(F.col("confidence") >= least)
 
 
-def spikes(mentions: DataFrame) -> DataFrame:
+def spikes(mentions: DataFrame, least: float = 0.35) -> DataFrame:
     """Leads: entities mentioned densely in few documents."""
     n = mentions.agg(F.count_distinct("document_id").alias("n"))
     c = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("m"), F.count_distinct("document_id").alias("d")).where("d >= 2 and m >= 3").crossJoin(F.broadcast(n))
     ratio = F.col("m") / F.col("d")
     score = ratio / (F.col("m") + 1) * (1 - F.col("d") / F.col("n")) + 0.3 * F.col("d") / F.col("n")
-    return c.select("id", F.lit("spike").alias("lead"), score.alias("confidence")).where("confidence >= 0.35")
+    return c.select("id", F.lit("spike").alias("lead"), score.alias("confidence")).where(F.col("confidence") >= least)
 
 
 def outlier_documents(mentions: DataFrame, least: int = 3) -> DataFrame:
@@ -450,9 +481,9 @@ def bridges(edges: DataFrame) -> DataFrame:
     return degrees(edges).join(apart, "id").select("id", F.lit("bridge").alias("lead"), F.least(F.lit(0.99), score).alias("confidence"))
 
 
-def leads(edges: DataFrame, mentions: DataFrame, top: int = 50) -> DataFrame:
-    """All kinds of leads, the best of each entity or document, the ``top`` ones."""
-    every = gatekeepers(edges, mentions).unionByName(bridges(edges)).unionByName(spikes(mentions)).unionByName(outlier_documents(mentions))
+def leads(edges: DataFrame, mentions: DataFrame, top: int = 50, gatekeeper: float = 0.3, spike: float = 0.35, alone: int = 3) -> DataFrame:
+    """All kinds of leads, the best of each entity or document, the ``top`` ones; ``gatekeeper``, ``spike`` and ``alone`` are these kinds' least values."""
+    every = gatekeepers(edges, mentions, least=gatekeeper).unionByName(bridges(edges)).unionByName(spikes(mentions, spike)).unionByName(outlier_documents(mentions, alone))
     best = every.groupBy("id").agg(F.max_by(F.struct("lead", "confidence"), F.struct("confidence", "lead")).alias("s")).select("id", "s.*")
     return best.orderBy(F.desc("confidence"), "id").limit(top)
 

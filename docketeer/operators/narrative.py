@@ -46,7 +46,7 @@ def mixed_sentiment(claims: DataFrame, least: float = 0.5) -> DataFrame:
 def narrative_contradictions(claims: DataFrame, evidence: DataFrame, similarity: bool = True) -> DataFrame:
     """(src, dst, score): claims of one subject and predicate that differ: polarity .6, object .35 (ratio under .35), date .25; from .6 on.
 
-    A pair needs unlike polarity, or both other signs; only such pairs are formed, from the rarer polarity of a group.
+    A pair needs unlike polarity, or both other signs; only such pairs are compared.
     """
     spans = evidence.select(F.col("id").alias("evidence_span_id")).distinct()
     c = claims.join(spans, "evidence_span_id", "left_semi").select(
@@ -211,18 +211,16 @@ def negation_words(text):
     return F.array_intersect(F.split(T.normalize(text), " "), F.array(*[F.lit(w) for w in lists.NEGATIONS]))
 
 
-def leader_clusters(vectors: DataFrame, least: float = 0.62, rounds: int = 50) -> DataFrame:
+def leader_clusters(vectors: DataFrame, least: float = 0.62) -> DataFrame:
     """(id, leader): in order of id, a vector joins the first earlier leader whose cosine is ``least`` or more, else it leads.
 
     Rounds instead of one pass: in each, a vector without any earlier open neighbour leads and takes its open neighbours; which gives
-    the same clusters. Vectors (id, vector) must be few enough for all similar pairs to be held as a table.
+    the same clusters. All similar pairs of the vectors (id, vector) are held as a table.
     """
-    pairs = cut(_similar(vectors, least))
+    pairs = cut(similar_pairs(vectors, least))
     state = cut(vectors.select("id").distinct().withColumn("leader", F.lit(None).cast(vectors.schema["id"].dataType)))
-    for _ in range(rounds):
-        open_ = state.where("leader is null").select("id")
-        if open_.isEmpty():
-            break
+    while not (open_ := state.where("leader is null").select("id")).isEmpty():
+        # the first open vector always leads, so every round closes some
         live = pairs.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi")
         held = live.select(F.col("b").alias("id")).distinct()
         lead = open_.join(held, "id", "left_anti")
@@ -232,37 +230,34 @@ def leader_clusters(vectors: DataFrame, least: float = 0.62, rounds: int = 50) -
     return state
 
 
-def _similar(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim), a < b: all pairs of cosine ``least`` or more, blocks of queries against all vectors as matrix products."""
-    from collections.abc import Iterator
-
+def similar_pairs(vectors: DataFrame, least: float, block: int = 2_000) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of cosine ``least`` or more. Blocks of about ``block`` vectors meet two by two as matrix products, each in a task of its own;
+    nothing passes through the driver. Every vector is sent to as many tasks as there are blocks. Null vectors leave."""
     import numpy as np
     import pandas as pd
 
+    rows = vectors.where("id is not null and vector is not null").select("id", "vector").distinct()
     kind = vectors.schema["id"].dataType.simpleString()
-    n = vectors.count()
-    block = 4_000
-    ids = numbered(vectors.select("id", "vector"), ["id"])
-    out = None
-    for start in range(0, max(n, 1), block):
-        rows = ids.where(F.col("n").between(start, start + block - 1)).orderBy("id").collect()  # one block
-        q_ids = np.array([r["id"] for r in rows], object)
-        q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pd.DataFrame], q=q, q_ids=q_ids) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(q_ids):
-                    m = np.stack(batch["vector"].to_numpy()).astype(float)
-                    s = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-                    i, j = np.nonzero(s >= least)
-                    a, b = q_ids[i], batch["id"].to_numpy(dtype=object)[j]
-                    keep = np.array([x < y for x, y in zip(a, b, strict=True)], bool) if len(a) else np.zeros(0, bool)
-                    yield pd.DataFrame({"a": a[keep], "b": b[keep], "sim": s[i, j][keep]})
-
-        part = vectors.select("id", "vector").mapInPandas(run, f"a {kind}, b {kind}, sim double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    left = placed.select("id", "vector", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("j"))
+    right = placed.select("id", "vector", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "sim": []})
+        p, q = (np.stack(z["vector"].to_numpy()).astype(float) for z in (x, y))
+        p, q = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (p, q))
+        s = p @ q.T
+        i, j = np.nonzero(s >= least)
+        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        same = x["i"].iloc[0] == x["j"].iloc[0]
+        keep = a < b if same else a != b
+        a, b, s = a[keep], b[keep], s[i, j][keep]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "sim": s})
+
+    tasks = min(4096, n * (n + 1) // 2 + 1)
+    return left.repartition(tasks, "i", "j").groupBy("i", "j").cogroup(right.repartition(tasks, "i", "j").groupBy("i", "j")).applyInPandas(meet, f"a {kind}, b {kind}, sim double")
 
 
 def threads(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -276,24 +271,25 @@ def threads(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     return size.join(fit, "leader")
 
 
-def thread_dag(vectors: DataFrame, clusters: DataFrame, least: float = 0.65, rounds: int = 20) -> DataFrame:
+def thread_dag(vectors: DataFrame, clusters: DataFrame, least: float = 0.65) -> DataFrame:
     """(leader, parent, child, depth, mutation): within each cluster, breadth first from the leader; a child comes after its parent, and its first parent in order wins; mutation is 1 minus the cosine to the leader."""
     from docketeer.functions.vectors import cosine
 
     member = vectors.join(clusters, "id")
     size = member.groupBy("leader").agg(F.count("*").alias("k")).where("k > 1").select("leader")
     member = cut(member.join(lookup_side(size), "leader", "left_semi"))
-    links = cut(_similar(vectors, least).join(member.select(F.col("id").alias("a"), "leader"), "a").join(member.select(F.col("id").alias("b"), F.col("leader").alias("l2")), "b").where("leader = l2").select("leader", "a", "b"))
+    links = cut(cut(similar_pairs(vectors, least)).join(member.select(F.col("id").alias("a"), "leader"), "a").join(member.select(F.col("id").alias("b"), F.col("leader").alias("l2")), "b").where("leader = l2").select("leader", "a", "b"))
     seen = member.select("leader", F.col("leader").alias("id")).distinct()
-    frontier, found = seen, None
-    for depth in range(1, rounds + 1):
+    frontier, found, depth = seen, None, 0
+    while True:
+        depth += 1
         step = links.join(frontier.withColumnRenamed("id", "a"), ["leader", "a"]).join(seen.withColumnRenamed("id", "b"), ["leader", "b"], "left_anti")
         step = cut(step.groupBy("leader", "b").agg(F.min("a").alias("parent")).select("leader", "parent", F.col("b").alias("child"), F.lit(depth).alias("depth")))
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
         frontier = step.select("leader", F.col("child").alias("id"))
-        seen = seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier))
     if found is None:
         kind = vectors.schema["id"].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"leader {kind}, parent {kind}, child {kind}, depth int, mutation double")

@@ -34,14 +34,14 @@ def norm_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
 
 
-def orphan_references(tables: dict[str, DataFrame], references: list[Reference], rounds: int = 20) -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
     """(table_name, record_id, period, status, origin).
 
     status ``absent``: no target row has the key; ``late``: one has, but the earliest was created after the referring row.
     origin ``direct``: the row's own reference is absent or late; ``inherited``: its reference is good but the row it names
     is itself an orphan, directly or in turn. period is yyyy-MM of the row's created_at, ``unknown`` if null;
     such rows, and those whose targets have no created_at, are never late. Null and blank references are no cases. Repeated rows
-    come out once. Self-referring and cyclic key graphs end at the fixpoint or, at the latest, after ``rounds``.
+    come out once. Every round marks rows not marked before, so self-referring and cyclic key graphs end at the fixpoint too.
     """
     spark = next(iter(tables.values())).sparkSession
     targets = {}
@@ -72,15 +72,13 @@ def orphan_references(tables: dict[str, DataFrame], references: list[Reference],
     bad = cut(direct.where("own is not null").select(F.col("table_name").alias("target"), F.col("own").alias("k"), "status").groupBy("target", "k").agg(F.min("status").alias("status")))
     good = checked.where("status is null").drop("status")
     known = bad.select("target", "k")
-    for _ in range(rounds):
-        if bad.isEmpty():
-            break
+    while not bad.isEmpty():
         hit = good.join(bad, ["target", "k"]).select("table_name", "record_id", "period", "own", "status", F.lit("inherited").alias("origin"))
         hit = cut(hit.distinct())
         found = found.unionByName(hit.select("table_name", "record_id", "period", "status", "origin"))
         bad = hit.where("own is not null").select(F.col("table_name").alias("target"), F.col("own").alias("k"), "status").groupBy("target", "k").agg(F.min("status").alias("status"))
         bad = cut(bad.join(known, ["target", "k"], "left_anti"))
-        known = known.unionByName(bad.select("target", "k"))
+        known = cut(known.unionByName(bad.select("target", "k")))
     return found.distinct()
 
 

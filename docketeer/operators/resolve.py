@@ -116,6 +116,12 @@ def merge_edges(relationships: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.groupBy(F.least("x", "y").alias("entity_a_id"), F.greatest("x", "y").alias("entity_b_id")).agg(F.sum("weight").alias("weight"), F.max("doc_count").alias("doc_count"))
 
 
+def drop_edges(relationships: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Relationships without those of the merged rows: the other rule for merging by mapping (old, new), which doesn't sum."""
+    gone = mapping.where("old <> new").select("old").distinct()
+    return relationships.join(gone, relationships.entity_a_id == gone.old, "left_anti").join(gone, relationships.entity_b_id == gone.old, "left_anti")
+
+
 def merge_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entities after merging: the kept row's fields, aliases of both and the merged names, counts summed, the best confidence."""
     moved = entities.join(mapping.select(F.col("old").alias("id"), "new"), "id", "left").withColumn("keep", F.coalesce("new", "id"))

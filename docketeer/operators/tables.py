@@ -60,6 +60,21 @@ def recount_mentions(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return out.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def wipe_documents(entities: DataFrame, mentions: DataFrame, gone: DataFrame, **derived: DataFrame) -> dict[str, DataFrame]:
+    """All that is left without the documents ``gone`` (document_id): mentions and the ``derived`` tables (with document_id) by anti-join, entities recounted,
+    those without any mention removed. Wiping twice, or documents that aren't there, changes nothing more."""
+    side = gone.select("document_id").where("document_id is not null").distinct()
+    left = mentions.join(side, "document_id", "left_anti")
+    counts = left.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("now"))
+    kept = entities.join(counts, "id").withColumn("mention_count", F.col("now")).drop("now")
+    return {"entities": kept, "mentions": left} | {name: df.join(side, "document_id", "left_anti") for name, df in derived.items()}
+
+
+def reingest(before: DataFrame, again: DataFrame, key: str = "document_id") -> DataFrame:
+    """``before`` with the rows of the documents in ``again`` replaced by these."""
+    return before.join(again.select(key).distinct(), key, "left_anti").unionByName(again)
+
+
 def entity_mentions(mentions: DataFrame, documents: DataFrame, entity_ids: DataFrame) -> DataFrame:
     """Mentions of the asked entities (entity_id) with their documents."""
     docs = documents.select(F.col("id").alias("document_id"), "filename", F.col("created_at").alias("document_date"))

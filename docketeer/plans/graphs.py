@@ -62,7 +62,8 @@ def components(spark, d):
     return G.components(e)
 
 
-@query()
+@query(EDGES + """, n AS (SELECT a, b FROM near), r(a, b) AS (SELECT a, a FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a), k AS (SELECT a AS id, min(b) AS component FROM r GROUP BY 1)
+SELECT component, count(*) AS size, CAST(sum(coalesce(m, 0)) AS BIGINT) AS mentions, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types FROM k LEFT JOIN entities e USING (id) LEFT JOIN (SELECT entity_id AS id, count(*) AS m FROM mentions GROUP BY 1) USING (id) GROUP BY 1 HAVING count(*) > 1""")
 def cluster_report(spark, d):
     counts = table(spark, d, "mentions").groupBy("entity_id").agg(F.count("*").alias("mentions"))
     return G.cluster_report(_edges(spark, d), table(spark, d, "entities"), counts)
@@ -130,28 +131,28 @@ def bridge_leads(spark, d):
     return G.bridges(_edges(spark, d))
 
 
-@query(EDGES + "SELECT id, 'gatekeeper' AS lead, round(least(0.99, d / (SELECT max(d) FROM deg) / (1 + 0.15 * m)), 6) AS confidence FROM deg JOIN (SELECT entity_id AS id, count(*) AS m FROM mentions GROUP BY 1) USING (id) WHERE d >= 3 AND least(0.99, d / (SELECT max(d) FROM deg) / (1 + 0.15 * m)) >= 0.3")
+@query(EDGES + "SELECT id, 'gatekeeper' AS lead, round(least(0.99, d / (SELECT max(d) FROM deg) / (1 + 0.15 * m)), 6) AS confidence FROM deg JOIN (SELECT entity_id AS id, count(*) AS m FROM mentions GROUP BY 1) USING (id) WHERE d >= 3 AND least(0.99, d / (SELECT max(d) FROM deg) / (1 + 0.15 * m)) >= 0.02")
 def gatekeepers(spark, d):
-    return G.gatekeepers(_edges(spark, d), table(spark, d, "mentions")).withColumn("confidence", F.round("confidence", 6))
+    return G.gatekeepers(_edges(spark, d), table(spark, d, "mentions"), least=0.02).withColumn("confidence", F.round("confidence", 6))
 
 
-_SPIKE = "SELECT entity_id AS id, 'spike' AS lead, m / d / (m + 1) * (1 - d / n) + 0.3 * d / n AS confidence FROM (SELECT entity_id, count(*) AS m, count(DISTINCT document_id) AS d FROM mentions GROUP BY 1), (SELECT count(DISTINCT document_id) AS n FROM mentions) WHERE d >= 2 AND m >= 3 AND m / d / (m + 1) * (1 - d / n) + 0.3 * d / n >= 0.35"
+_SPIKE = "SELECT entity_id AS id, 'spike' AS lead, m / d / (m + 1) * (1 - d / n) + 0.3 * d / n AS confidence FROM (SELECT entity_id, count(*) AS m, count(DISTINCT document_id) AS d FROM mentions GROUP BY 1), (SELECT count(DISTINCT document_id) AS n FROM mentions) WHERE d >= 2 AND m >= 3 AND m / d / (m + 1) * (1 - d / n) + 0.3 * d / n >= 0.02"
 
 
 @query(f"SELECT id, lead, round(confidence, 6) AS confidence FROM ({_SPIKE})")
 def spikes(spark, d):
-    return G.spikes(table(spark, d, "mentions")).withColumn("confidence", F.round("confidence", 6))
+    return G.spikes(table(spark, d, "mentions"), 0.02).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""WITH p AS (SELECT DISTINCT document_id, entity_id FROM mentions WHERE entity_id IS NOT NULL), o AS (SELECT entity_id FROM p GROUP BY 1 HAVING count(*) = 1), c AS (SELECT document_id, count(*) AS a, count(o.entity_id) AS n FROM p LEFT JOIN o USING (entity_id) GROUP BY 1)
-SELECT document_id AS id, 'outlier' AS lead, round(least(0.99, 0.4 + 0.5 * n / a + 0.02 * n), 6) AS confidence FROM c WHERE n >= 3""")
+SELECT document_id AS id, 'outlier' AS lead, round(least(0.99, 0.4 + 0.5 * n / a + 0.02 * n), 6) AS confidence FROM c WHERE n >= 1""")
 def outlier_documents(spark, d):
-    return G.outlier_documents(table(spark, d, "mentions")).withColumn("confidence", F.round("confidence", 6))
+    return G.outlier_documents(table(spark, d, "mentions"), 1).withColumn("confidence", F.round("confidence", 6))
 
 
 @query()
 def leads(spark, d):
-    return G.leads(_edges(spark, d), table(spark, d, "mentions"))
+    return G.leads(_edges(spark, d), table(spark, d, "mentions"), gatekeeper=0.02, spike=0.02, alone=1)
 
 
 @query(EDGES + ", k AS (SELECT DISTINCT entity_id AS id FROM mentions WHERE document_id IN (SELECT id FROM documents WHERE source_tag = (SELECT source_tag FROM documents WHERE source_tag <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))) SELECT a, b, weight FROM edges WHERE a IN (SELECT id FROM k) AND b IN (SELECT id FROM k)")
@@ -163,7 +164,17 @@ def tag_graph(spark, d):
     return G.restrict_to(_edges(spark, d), ids)
 
 
-@query()
+_STOP = "['the','of','and','a','an','in','for','llc','inc','corp','co','ltd','mr','mrs','ms','dr']"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT id, entity_type AS kind, trim(canonical_name) AS name, lower(trim(canonical_name)) AS low, list_distinct(list_filter(regexp_extract_all(lower(trim(canonical_name)), '[a-z]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))) AS t,
+list_aggregate(list_transform(list_filter(regexp_split_to_array(trim(canonical_name), '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}')), lambda w: w[1]), 'string_agg', '') AS ini FROM entities WHERE canonical_name IS NOT NULL AND trim(canonical_name) <> ''),
+p AS (SELECT x.id AS id_a, y.id AS id_b, (contains(x.low, y.low) OR contains(y.low, x.low)) AND least(length(x.name), length(y.name)) >= 4 AS inside,
+CASE WHEN len(x.t) = 0 OR len(y.t) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) END AS j,
+CASE WHEN length(x.name) <= 30 AND length(y.name) <= 30 THEN 1 - levenshtein(x.low, y.low) / greatest(length(x.name), length(y.name)) ELSE 0 END AS r,
+x.kind = 'Person' AND ((length(x.name) <= 4 AND upper(x.name) = x.name AND x.name = y.ini) OR (length(y.name) <= 4 AND upper(y.name) = y.name AND y.name = x.ini)) AS i FROM e x JOIN e y ON x.kind = y.kind AND x.id < y.id),
+w AS (SELECT *, CASE WHEN j >= 0.6 THEN 0.55 + 0.35 * j ELSE 0 END AS cw, CASE WHEN r >= 0.75 THEN 0.85 * r ELSE 0 END AS ce FROM p), v AS (SELECT *, CASE WHEN cw >= 0.7 THEN cw ELSE greatest(cw, ce) END AS c2 FROM w), u AS (SELECT *, CASE WHEN c2 >= 0.7 THEN c2 ELSE greatest(c2, CASE WHEN coalesce(i, false) THEN 0.75 ELSE 0 END) END AS c3 FROM v)
+SELECT id_a, id_b, round(CASE WHEN inside THEN 0.85 ELSE c3 END, 4) AS confidence, CASE WHEN inside THEN 'contained' WHEN c3 = cw THEN 'words' WHEN c3 = ce THEN 'edits' ELSE 'initials' END AS rule FROM u WHERE inside OR c3 >= 0.55""")
 def duplicate_candidates(spark, d):
     return R.duplicate_candidates(table(spark, d, "entities")).select("id_a", "id_b", F.round("confidence", 4).alias("confidence"), "rule")
 

@@ -124,10 +124,9 @@ def filtered_search(spark, d):
     return O.search_filters(table(spark, d, "documents"), table(spark, d, "mentions"), table(spark, d, "entities"), redacted=True, since=dt.datetime(2018, 1, 1), until=dt.datetime(2023, 12, 31), names=["Quillmarsh Records Oversight Company"], match="all")
 
 
-@query("""SELECT id, raw_name, trim(regexp_replace(lower(raw_name), '[^a-z0-9\\s:/.\\-]', '', 'g')) AS normalized FROM extracted_entities WHERE raw_name IS NOT NULL AND NOT regexp_matches(raw_name, '\\s\\s') AND regexp_full_match(raw_name, '[ -~]+') AND raw_name NOT LIKE '% ' AND NOT regexp_matches(raw_name, ' [^A-Za-z0-9:/.\\-]+ |[^A-Za-z0-9:/.\\-] | $')""")
+@query("""SELECT id, raw_name, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(raw_name, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/.\\-]', '', 'g'), '\\s+', ' ', 'g')) AS normalized FROM extracted_entities""")
 def normalized_names(spark, d):
-    x = table(spark, d, "extracted_entities").where("raw_name is not null and not raw_name rlike '\\\\s\\\\s' and raw_name rlike '^[ -~]+$' and not raw_name like '% ' and not raw_name rlike ' [^A-Za-z0-9:/.\\\\-]+ |[^A-Za-z0-9:/.\\\\-] | $'")
-    return x.select("id", "raw_name", T.normalize(F.col("raw_name")).alias("normalized"))
+    return table(spark, d, "extracted_entities").select("id", "raw_name", T.normalize(F.col("raw_name")).alias("normalized"))
 
 
 @query("""WITH e AS (SELECT id, entity_type, trim(raw_name) AS n, regexp_split_to_array(lower(trim(raw_name)), '\\s+') AS t FROM extracted_entities WHERE raw_name IS NOT NULL)

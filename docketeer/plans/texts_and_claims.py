@@ -62,13 +62,24 @@ def nearest_vectors(spark, d):
     return S.nearest(v, v.where("id % 100 = 0"), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+_HYBRID = """WITH p AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)), c AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'cartel')) AS t0 FROM p),
+st AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (t0 > 0) AS d0 FROM c), kw AS (SELECT id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / m)) AS s FROM c, st WHERE t0 > 0),
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), sem AS (SELECT v.id, list_cosine_similarity(q.e, v.e) AS s FROM v JOIN v q ON q.id = 100 AND v.id <> 100 ORDER BY round(s, 9) DESC, v.id LIMIT 100),
+g AS (SELECT DISTINCT least(entity_a_id, entity_b_id) AS a, greatest(entity_a_id, entity_b_id) AS b FROM entity_relationships WHERE entity_a_id <> entity_b_id), dg AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM g UNION ALL SELECT b FROM g) GROUP BY 1),
+bo AS (SELECT doc_id AS id, max(d) / (SELECT max(d) FROM dg) AS boost FROM mentions JOIN dg ON dg.id = entity_id JOIN documents ON documents.id = document_id GROUP BY 1),
+j AS (SELECT coalesce(sem.id, kw.id) AS id, sem.s / (SELECT max(s) FROM sem) AS s, kw.s / (SELECT max(s) FROM kw) AS k FROM sem FULL JOIN kw ON sem.id = kw.id)
+SELECT j.id, round(0.6 * coalesce(s, 0) + 0.3 * coalesce(k, 0) + 0.1 * coalesce(boost, 0), 6) AS score, concat_ws('+', CASE WHEN s IS NOT NULL THEN 'semantic' END, CASE WHEN k IS NOT NULL THEN 'keyword' END, CASE WHEN boost > 0 THEN 'graph' END) AS signals
+FROM j LEFT JOIN bo ON bo.id = j.id ORDER BY 0.6 * coalesce(s, 0) + 0.3 * coalesce(k, 0) + 0.1 * coalesce(boost, 0) DESC, j.id LIMIT 50"""
+
+
+@query(_HYBRID)
 def hybrid_search(spark, d):
-    pages = table(spark, d, "document_pages")
-    keyword = S.bm25(pages, "cartel ledger rebate scheme")
-    semantic = S.phrase_search(pages, "cartel ledger", stem=True).select("id", F.col("hits").cast("double").alias("score"))
+    """The document whose vector is asked for by id: its nearest vectors, the keyword hits of the documents' texts, and the best connected entity of each."""
+    documents, v = table(spark, d, "documents"), _vectors(spark, d)
+    semantic = S.nearest(v, v.where("id = 100"), 100).select("id", "score")
+    keyword = S.bm25(documents, "cartel", key="doc_id", text="text")
     c = G.degrees(G.edges_of(table(spark, d, "entity_relationships")))
-    boost = S.graph_boost(table(spark, d, "mentions"), c).join(pages.select("id", "document_id", "page_number").distinct(), ["document_id", "page_number"]).select("id", "boost")
+    boost = S.graph_boost(table(spark, d, "mentions"), c).join(documents.select("doc_id", F.col("id").alias("document_id")), "document_id").groupBy(F.col("doc_id").alias("id")).agg(F.max("boost").alias("boost"))
     return S.hybrid(semantic, keyword, boost, k=50).select("id", F.round("score", 6).alias("score"), "signals")
 
 
@@ -151,7 +162,8 @@ def claim_lineage(spark, d):
     return N.claim_lineage(table(spark, d, "claims"))
 
 
-@query()
+@query("""WITH e AS (SELECT id AS entity_id, entity_type, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(canonical_name, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/._,\\-]', '', 'g'), '\\s+', ' ', 'g')) AS n FROM entities WHERE entity_type IN ('Person', 'Organization', 'Location')), c AS (SELECT DISTINCT id AS claim_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(claim_text, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/._,\\-]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM claims WHERE claim_text IS NOT NULL)
+SELECT DISTINCT claim_id, entity_id, CAST(CASE WHEN entity_type = 'Person' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM c JOIN e ON length(n) >= 4 AND contains(t, n)""")
 def claim_entity_links(spark, d):
     return N.claim_entity_links(table(spark, d, "claims"), table(spark, d, "entities"))
 
@@ -168,7 +180,9 @@ def event_support(spark, d):
     return N.event_support(table(spark, d, "narrative_event_claim_map")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query("""WITH c AS (SELECT n.id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(subject, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/._,\\-]', '', 'g'), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(predicate, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/._,\\-]', '', 'g'), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(object, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/._,\\-]', '', 'g'), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(normalized_date, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/._,\\-]', '', 'g'), '\\s+', ' ', 'g')) AS event_key, document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(predicate, '')), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\s:/.\\-]', '', 'g'), '\\s+', ' ', 'g')) AS p, claim_type FROM narrative_claims n LEFT JOIN narrative_evidence_spans s ON s.id = evidence_span_id),
+t AS (SELECT *, CASE WHEN regexp_matches(p, 'met|meeting|visited') THEN 'meeting' WHEN regexp_matches(p, 'flew|traveled|flight') THEN 'travel' WHEN regexp_matches(p, 'paid|transferred|wired') THEN 'financial' WHEN regexp_matches(p, 'called|emailed|wrote') THEN 'communication' WHEN claim_type IN ('allegation', 'denial', 'observation') THEN claim_type ELSE 'statement' END AS e FROM c)
+SELECT event_key, count(*) AS claims, min(id) AS first_claim, arg_min(e, id) AS event_type, count(DISTINCT document_id) AS documents FROM t GROUP BY 1""")
 def canonical_events(spark, d):
     return N.canonical_events(table(spark, d, "narrative_claims"), table(spark, d, "narrative_evidence_spans"))
 
@@ -197,13 +211,13 @@ def leader_clusters(spark, d):
 @query()
 def provenance_threads(spark, d):
     v = _vectors(spark, d)
-    return N.threads(v, cut(N.leader_clusters(v))).withColumn("coherence", F.round("coherence", 6))
+    return N.threads(v, cut(N.leader_clusters(v, 0.3))).withColumn("coherence", F.round("coherence", 6))
 
 
 @query()
 def provenance_dag(spark, d):
     v = _vectors(spark, d)
-    return N.thread_dag(v, cut(N.leader_clusters(v))).withColumn("mutation", F.round("mutation", 6))
+    return N.thread_dag(v, cut(N.leader_clusters(v, 0.3)), 0.3).withColumn("mutation", F.round("mutation", 6))
 
 
 @query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS sim, a.label AS la, b.label AS lb FROM v a JOIN v b ON a.id < b.id AND a.id % 100 = 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.plans import graphs, lists_and_counts, texts_and_claims
+from docketeer.plans import builds, graphs, lists_and_counts, reports, texts_and_claims
 from docketeer.operators.orphans import Reference, orphan_references, orphan_report
 from docketeer.runtime import table
 
@@ -33,7 +33,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_report": p5_report} | lists_and_counts.QUERIES | graphs.QUERIES | texts_and_claims.QUERIES
+    return {"p5_found": p5_found, "p5_report": p5_report} | lists_and_counts.QUERIES | graphs.QUERIES | texts_and_claims.QUERIES | reports.QUERIES | builds.QUERIES
 
 
 _REFS = """
@@ -53,7 +53,7 @@ FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k <> '')
 
 
 def oracle_sql() -> dict[str, str]:
-    return lists_and_counts.SQL | graphs.SQL | texts_and_claims.SQL | {
+    return lists_and_counts.SQL | graphs.SQL | texts_and_claims.SQL | reports.SQL | builds.SQL | {
         "p5_found": _REFS + "SELECT DISTINCT table_name, record_id, period, status FROM c WHERE status IS NOT NULL",
         "p5_report": _REFS
         + """, o AS (

@@ -23,6 +23,7 @@ def local_session(cores: int = 8, shuffle: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DOCKETEER_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -58,13 +59,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a plan in the reliable checkpoint folder and cut its lineage.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where the session names
-    none (tests, a laptop) a temporary folder is set.
+    The folder is the one named by ``spark.checkpoint.dir``; only where a local session names
+    none (tests, a laptop) a temporary folder is set. On a cluster it must be named, as no machine's own folder is seen by all.
     """
     ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketeer-"))
     return df.checkpoint(eager=True)
 
