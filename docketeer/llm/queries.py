@@ -14,7 +14,7 @@ TIES = ("repeats", "supports", "derives_from")
 
 def _scanned(spark: SparkSession, d: str):
     names = table(spark, d, "entities").select(F.col("canonical_name").alias("name"))
-    return table(spark, d, "document_pages").select("id", "page_number", "ocr_used", "ocr_text", "final_text"), names
+    return table(spark, d, "document_pages").select("id", "document_id", "page_number", "ocr_used", "ocr_text", "final_text"), names
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

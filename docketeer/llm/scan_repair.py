@@ -1,6 +1,8 @@
 """Problem 1: noise in text from scanned pages.
 
 Every page's lines are told apart (running headers, page numbers, running text, blanks) and words broken at line ends are put together.
+Running headers are established by repetition: lines that return at the edges of a document's pages show boosted trees, fitted on
+a bounded sample, what a header looks like here, so that those of documents of one page are found as well.
 A vocabulary is counted over all pages. Words unknown to it are run as Levenshtein automata, with merges and splits of
 two characters as single errors, against tries of the vocabulary, which yields all candidates within the distance. Which
 errors the scanner makes is learned from the candidates themselves; candidates are ranked by that, by frequency and by
@@ -27,6 +29,8 @@ COMMON_WORDS = 20_000
 TRIE_WORDS, ASKED_WORDS = 150_000, 20_000
 #: Error pairs kept, at most; they are pairs of one or two characters.
 MOST_ERRORS = 400
+#: Scanned pages, whole documents chosen by hash, on which the trees for running headers are fitted.
+SAMPLE_PAGES = 3_000
 
 HYPHENS = "-¬‐­"
 #: Fixed values.
@@ -37,11 +41,14 @@ _DIGITS = str.maketrans("OolI|S", "001115")
 _SYMBOL = re.compile(r"[^\W\d_]\||\|[^\W\d_]|(?:^|[\s\"“(’'])@[^\W\d_]*(?=[\s.,;:!?”\")]|$)|[^\W\d_]@(?=[\s.,;:!?”\")]|$)")
 _NO = r"([\dOolI|]{1,4})"
 _PAGE_NO = re.compile(rf"([ivx]{{1,5}}|[IVX]{{1,5}})|[-–—] ?{_NO} ?[-–—]|\[ ?{_NO} ?\]|{_NO} ?/ ?[\dOolI|]{{1,4}}|\(?{_NO}\)?|[Pp]\. ?{_NO}|[Pp][aA@][gG9][ecECE] {_NO}(?: [oO0][fFtT] [\dOolI|]{{1,4}})?")
-_VERSUS = re.compile(r"[A-Z0-9@|][^,.;:—\d]*? [Vv]v?\. [A-Z][^,.;:]*", re.S)
 _WORD = re.compile(r"[^\W_](?:[\w@|~·]*[^\W_])?(?:['’][^\W\d_]+)?", re.S)
 _ADDRESS_LIKE = re.compile(r"\S*[@/\\]\S*\.\S+|\S*\(at\)\S*|^[@/]\S+|\S+://\S+")
 
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_TRAILING_NO = re.compile(r" {3,}[\dOolI|]{1,4}$")
+_GAP = re.compile(r"\S {3,}(?=\S)")
+_LABEL = re.compile(r"[^\W\d_]+: ")
 #: An a at the beginning of a word, read as an at sign.
 _LONE_AT = re.compile(r"[\"“(]*@[^\W\d_]*[.,;:”\")]*")
 
@@ -61,60 +68,99 @@ def page_number_of(line: str) -> int | None:
     return int(value) if value.isdigit() else None
 
 
-def _is_header(lines: list[str], i: int) -> bool:
-    """A line shaped like a running header: a docket, stamp, file or date line, or the title cut short.
-
-    A title proper goes on in the next line or ends with its number; a header's text stands alone.
-    """
-    raw = lines[i].strip()
-    # most lines of prose end here: headers are short or set apart by blanks, and begin with a capital
-    if not 5 <= len(raw) <= 99 or (len(raw) > 60 and "   " not in raw) or raw[0].islower():
-        return False
-    line = re.sub(r" {3,}[\dOolI|]{1,4}$", "", lines[i].rstrip())
-    text = line.strip()
-    if not 5 <= len(text) <= 90 or text[-1] in ".;:!?":
-        return False
-    if re.search(r"\S {3,}\S.*\S {3,}\S", text):
-        return True
-    if re.match(r"Fr[o0](?:m|rn): ", text, re.I):
-        # of the two, the sender's line proper goes on or has the subject below it
-        after = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-        goes_on = re.match(r"<|S[uv]|5u|\S*[@)\]]|\S+>", after) and not re.match(r"Fr[o0]", after, re.I)
-        return len(text) <= 50 and not goes_on
-    numbered = line != lines[i].rstrip()
-    if re.fullmatch(r"C[O0]NFI?[^\s]*TI[^\s]* [-–—] .+", text, re.I) or re.fullmatch(r".{3,9} [\dOolI|]{4} \| .+ \| .+", text):
-        return True
-    if re.fullmatch(r"[^\W\d_][\w@|]+ [^\W\d_][\w@|]* [\dOolI|]{1,2}/[\dOolI|]{1,2}", text):
-        return True
-    words = text.split()
-    if len(words) == 3 and words[1] in ("OF", "0F") and text.upper() == text and all(re.search(r"[A-Z]", w) for w in words):
-        return True
-    if len(text) <= 48 and _VERSUS.fullmatch(text) and "—" not in text:
-        if numbered:
-            return True
-        after = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-        start = re.sub(r"\W", "", text).lower()[:9]
-        if _close(start, re.sub(r"\W", "", after).lower()[:9]):
-            return True
-        rest = " ".join(x.strip() for x in lines[i + 1 : i + 3])
-        return not ("—" in after or after[:1].islower() or re.match(r"[^.]{0,90}\b[nrim]{1,3}[o0]\. ?[\dOolI|]", rest) or re.match(r"[^.]*, [\dOolI|]+ Rep", text + " " + rest))
-    return numbered
+def _bare(line: str) -> str:
+    return _NOT_LETTERS.sub("", line.lower())
 
 
 def _close(a: str, b: str) -> bool:
     return len(a) > 3 and sum(x == y for x, y in zip(a, b, strict=False)) >= len(a) - 2
 
 
-def line_kinds(lines: list[str], page_number: int | None) -> list[str]:
+def line_form(lines: list[str], filled: list[int], at: int) -> tuple | None:
+    """What a line looks like and where it stands, in small numbers; ``filled`` are the lines that aren't blank. None for lines that no header looks like."""
+    i = filled[at]
+    raw = lines[i]
+    text = raw.strip()
+    if not 5 <= len(text) <= 99 or text[0].islower():
+        return None
+    body = _TRAILING_NO.sub("", raw.rstrip()).strip()
+    words = body.split()
+    if not words:
+        return None
+    after = lines[filled[at + 1]].strip() if at + 1 < len(filled) else ""
+    third = lines[filled[at + 2]].strip() if at + 2 < len(filled) else ""
+    digits = sum(c.isdigit() for c in body)
+    capitals = sum(w[0].isupper() or w[0].isdigit() for w in words)
+    follows = 0 if not after else 1 if after[0].islower() else 2 if _close(_bare(body)[:9], _bare(after)[:9]) else 3 if after[0].isalnum() else 4
+    goes_on = (after + " " + third)[:90]
+    return (
+        min(at, 3), min(len(filled) - 1 - at, 3), min(len(body) // 4, 15), min(len(words), 9), 5 * capitals // len(words), min(digits // 2, 6), int(body != text),
+        1 if body[-1] in ".!?”" else 2 if body[-1] in ",;:—-" else 0, min(len(_GAP.findall(body)), 3), int(" v. " in body or " V. " in body), int("|" in body), int(" - " in body or " – " in body), int("/" in body),
+        int(_LABEL.match(body) is not None), follows, int(i + 1 < len(lines) and not lines[i + 1].strip()), int(i > 0 and not lines[i - 1].strip()), int(body.upper() == body), int("—" in body), int("—" in goes_on),
+        int("@" in body or "<" in body), min(len(after) // 12, 6), min(sum(c.isdigit() for c in goes_on) // 2, 6),
+    )
+
+
+class Headers:
+    """Trees that tell running headers by their form; without trees nothing is one."""
+
+    def __init__(self, trees=None):
+        self.trees = trees
+
+    def among(self, lines: list[str], filled: list[int]) -> set[int]:
+        if self.trees is None:
+            return set()
+        out = set()
+        for at, i in enumerate(filled):
+            form = line_form(lines, filled, at)
+            if form is not None and self.trees.accepts(form):
+                out.add(i)
+        return out
+
+
+def learn_headers(pages: DataFrame, sample: int = SAMPLE_PAGES, least: int = 10) -> Headers:
+    """Fit on the pages of about ``sample`` scanned pages' documents that have three such pages or more: a line at the edge of a page that stands on
+    another page of its document too, but for digits and case, is a header; all other lines are taken for none. Some headers are read so badly that
+    they don't seem to return, so a line counts from half of what the others reach on. Fewer than ``least`` such lines teach nothing."""
+    from docketeer.llm.boosting import fit
+
+    scanned = pages.where("ocr_used and ocr_text is not null and document_id is not null").select("id", "document_id", "ocr_text").distinct()
+    several = scanned.groupBy("document_id").agg(F.count("*").alias("k")).where("k > 2")
+    n = several.agg(F.sum("k")).first()[0] or 0
+    picked = several.where(F.pmod(F.xxhash64("document_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))).select("document_id")
+    by_doc: dict[str, list[str]] = defaultdict(list)
+    for r in scanned.join(lookup_side(cut(picked)), "document_id").select("document_id", "id", "ocr_text").orderBy("document_id", "id").collect():  # the sample
+        by_doc[r[0]].append(r[2])
+    rows, labels = [], []
+    for texts in by_doc.values():
+        split = [_split(t) for t in texts]
+        places = [[i for i, line in enumerate(lines) if line.strip()] for lines in split]
+        edges = [{_bare(lines[i]) for i in {*filled[:2], *filled[-2:]}} for lines, filled in zip(split, places, strict=True)]
+        seen = Counter(k for e in edges for k in e if len(k) > 4)
+        for lines, filled in zip(split, places, strict=True):
+            for at, i in enumerate(filled):
+                form = line_form(lines, filled, at)
+                if form is not None:
+                    rows.append(form)
+                    labels.append(int(seen[_bare(lines[i])] > 1))
+    if sum(labels) < least:
+        return Headers()
+    trees = fit(rows, labels, rounds=40, depth=4)
+    trees.threshold /= 2
+    return Headers(trees)
+
+
+def line_kinds(lines: list[str], page_number: int | None, headers: Headers = Headers()) -> list[str]:
     """blank, page_number, header or text for each line."""
     kinds = []
+    running = headers.among(lines, [i for i, line in enumerate(lines) if line.strip()])
     for i, line in enumerate(lines):
         if not line.strip():
             kinds.append("blank")
         elif (n := page_number_of(line)) is not None and (page_number is None or n == page_number):
             kinds.append("page_number")
         else:
-            kinds.append("header" if _is_header(lines, i) else "text")
+            kinds.append("header" if i in running else "text")
     return kinds
 
 
@@ -270,7 +316,7 @@ def _split(text: str) -> list[str]:
     return text.split("\n")
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
+def word_counts(pages: DataFrame, headers: Headers) -> DataFrame:
     """(word in lower case, clean, scanned): in how many places on clean and on scanned pages. Counted within each task first."""
     rows = pages.select(F.when(F.col("ocr_used"), F.col("ocr_text")).otherwise(F.col("final_text")).alias("text"), F.coalesce("ocr_used", F.lit(False)).alias("scan"), "page_number").where("text is not null")
 
@@ -281,7 +327,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
             for text, scan, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if scan:
                     lines = _split(text)
-                    kinds = line_kinds(lines, number)
+                    kinds = line_kinds(lines, number, headers)
                     scanned.update(w.lower() for _, _, _, w in words_in(lines, kinds, broken_words(lines, kinds)))
                 else:
                     runs.update(text.lower().split())
@@ -319,7 +365,7 @@ def _trie_groups(vocabulary: DataFrame, asked: DataFrame, reach: int, run, schem
     return words.repartition(n, *keys).groupBy(*keys).cogroup(ask.repartition(n, *keys).groupBy(*keys)).applyInPandas(run, schema)
 
 
-def corrections(counts: DataFrame, least: int = 2, ratio: float = 2.0) -> DataFrame:
+def corrections(counts: DataFrame, least: int = 2, ratio: float = 2.0, short_ratio: float = 50.0) -> DataFrame:
     """(word, meant, place): misread words, what they most likely are, and where the error is; several rows where candidates are on a par.
 
     A word on clean pages is no misreading. Candidates need ``least`` places and ``ratio`` times the word's own. An error pair
@@ -330,8 +376,8 @@ def corrections(counts: DataFrame, least: int = 2, ratio: float = 2.0) -> DataFr
     spark = counts.sparkSession
     ship(spark)
     letters = F.col("word").rlike(r"^[\p{L}\p{M}'’]+$")
-    vocabulary = cut(counts.where(letters & (F.length("word") > 2) & ((F.col("clean") > 0) | (F.col("scanned") > 1)) & (F.col("clean") + F.col("scanned") >= least)).select("word", (F.col("clean") + F.col("scanned")).alias("n")))
-    asked = cut(counts.where((F.col("clean") == 0) & (F.length("word") > 2) & F.col("word").rlike(r"\p{L}")).select("word", F.col("scanned").alias("n")))
+    vocabulary = cut(counts.where(letters & (F.length("word") > 1) & ((F.col("clean") > 0) | (F.col("scanned") > 1)) & (F.col("clean") + F.col("scanned") >= least)).select("word", (F.col("clean") + F.col("scanned")).alias("n")))
+    asked = cut(counts.where((F.col("clean") == 0) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).select("word", F.col("scanned").alias("n")))
 
     def one(words: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -345,7 +391,8 @@ def corrections(counts: DataFrame, least: int = 2, ratio: float = 2.0) -> DataFr
 
     # a merge makes the read word one shorter, a split one longer
     near = cut(_trie_groups(vocabulary, asked, 1, one, "word string, n bigint, meant string, n_meant bigint, was string, read string, place int"))
-    best = near.groupBy("word").agg(F.max_by(F.struct("was", "read"), "n_meant").alias("e"), F.max("n").alias("n"))
+    # a word of two letters is near too many others to teach anything
+    best = near.where(F.length("word") > 2).groupBy("word").agg(F.max_by(F.struct("was", "read"), "n_meant").alias("e"), F.max("n").alias("n"))
     pairs = best.groupBy("e.was", "e.read").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
     total = best.agg(F.sum("n")).first()[0] or 0
     # an error needs letters on both sides: dropped or added single characters are typists' slips, no scanner's
@@ -355,7 +402,9 @@ def corrections(counts: DataFrame, least: int = 2, ratio: float = 2.0) -> DataFr
     if not known:
         return spark.createDataFrame([], "word string, meant string, n_meant bigint, place int")
     table = spark.createDataFrame(sorted(known), "was string, read string")
-    first = near.join(F.broadcast(table), ["was", "read"]).select("word", "meant", "n_meant", "place")
+    # nor is it corrected but to a far more frequent word of its length
+    plain = (F.length("word") > 2) | ((F.length("meant") == 2) & (F.col("n_meant") >= short_ratio * F.col("n")))
+    first = near.where(plain).join(F.broadcast(table), ["was", "read"]).select("word", "meant", "n_meant", "place")
     first = cut(first)
     by_read: dict[str, list[str]] = defaultdict(list)
     for was, read in sorted(known):
@@ -388,13 +437,13 @@ def _telltale(spark, asked: DataFrame, first: DataFrame, second: DataFrame, know
     return rest.select("word", F.expr("replace(word, read, was)").alias("meant"), F.col("n").alias("n_meant"), (F.expr("locate(read, word)") - 1).cast("int").alias("place"))
 
 
-def scan_lines(pages: DataFrame, counts: DataFrame, fixes: DataFrame) -> DataFrame:
+def scan_lines(pages: DataFrame, counts: DataFrame, fixes: DataFrame, headers: Headers) -> DataFrame:
     """(page_id, line_no, kind): hyphen, header, page_number and misread lines of scanned pages' ocr_text.
 
-    pages: id, page_number, ocr_used, ocr_text, final_text. Null and empty texts and pages not scanned give no rows; repeated pages count once.
+    pages: id, document_id, page_number, ocr_used, ocr_text, final_text. Null and empty texts and pages not scanned give no rows; repeated pages count once.
     """
     # both branches read it: written once
-    lines = cut(_scan(pages, counts))
+    lines = cut(_scan(pages, counts, headers))
     unclear = lines.where("word is not null")
     clear = lines.where("word is null").select("page_id", "line_no", "kind")
     places = fixes.groupBy("word").agg(F.max_by("place", "n_meant").alias("place"))
@@ -427,7 +476,7 @@ def _common(counts: DataFrame) -> set[str]:
     return {r["word"] for r in counts.where(F.col("clean") >= least).select("word").collect()} if least is not None else set()
 
 
-def _scan(pages: DataFrame, counts: DataFrame) -> DataFrame:
+def _scan(pages: DataFrame, counts: DataFrame, headers: Headers) -> DataFrame:
     """Lines with a clear kind, and unclear words: (page_id, line_no, line_to, before, word, kind)."""
     common = _common(counts)
     noise = _noise_characters(pages)
@@ -439,7 +488,7 @@ def _scan(pages: DataFrame, counts: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for page, number, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = _split(text)
-                kinds = line_kinds(lines, number)
+                kinds = line_kinds(lines, number, headers)
                 broken = broken_words(lines, kinds)
                 for i, kind in enumerate(kinds):
                     if kind in ("header", "page_number"):
@@ -467,8 +516,9 @@ def _scan(pages: DataFrame, counts: DataFrame) -> DataFrame:
 
 def find_noise(pages: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, kind) of all scanned pages; ``names`` (name) adds known names to the vocabulary."""
-    counts = cut(_with_names(word_counts(pages), names))
-    return scan_lines(pages, counts, cut(corrections(counts)))
+    headers = learn_headers(pages)
+    counts = cut(_with_names(word_counts(pages, headers), names))
+    return scan_lines(pages, counts, cut(corrections(counts)), headers)
 
 
 def _with_names(counts: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -484,10 +534,11 @@ def repair(pages: DataFrame, names: DataFrame | None = None) -> DataFrame:
     Headers and page numbers leave, broken words are joined, misread words give way to the candidate that fits the neighbouring words
     best, inserted characters leave, lines are joined, blank lines and the end of a title part paragraphs. Null texts stay null.
     """
-    counts = cut(_with_names(word_counts(pages), names))
+    headers = learn_headers(pages)
+    counts = cut(_with_names(word_counts(pages, headers), names))
     fixes = cut(corrections(counts))
     noise = _noise_characters(pages)
-    unclear = cut(_scan(pages, counts).where("word is not null").select("page_id", "word").distinct())
+    unclear = cut(_scan(pages, counts, headers).where("word is not null").select("page_id", "word").distinct())
     ranked = fixes.join(_context(pages, fixes, counts), ["word", "meant"], "left").groupBy("word").agg(F.max_by("meant", F.struct(F.coalesce("near", F.lit(0)), "n_meant", "meant")).alias("meant"))
     mine = unclear.join(ranked, "word").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("fixes"))
     rows = pages.where("ocr_used").select(F.col("id").alias("page_id"), "page_number", "ocr_text").distinct().join(mine, "page_id", "left")
@@ -495,7 +546,7 @@ def repair(pages: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if text is None else reflow(text, number, dict(own or ()), drop) for number, text, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            out = [None if text is None else reflow(text, number, dict(own or ()), drop, headers) for number, text, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["page_id", "text"])
 
     return map_arrow(rows, run, "page_id string, text string")
@@ -523,9 +574,9 @@ def _like(word: str, meant: str) -> str:
     return meant[:1].upper() + meant[1:] if word[:1].isupper() or (word[:1].isdigit() and word[1:2].isupper()) else meant
 
 
-def reflow(text: str, page_number: int | None, fixes: dict[str, str], drop: dict) -> str:
+def reflow(text: str, page_number: int | None, fixes: dict[str, str], drop: dict, headers: Headers) -> str:
     lines = _split(text)
-    kinds = line_kinds(lines, page_number)
+    kinds = line_kinds(lines, page_number, headers)
     broken = broken_words(lines, kinds)
 
     def mend(chunk: str) -> str:

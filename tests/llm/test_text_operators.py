@@ -144,13 +144,18 @@ def test_within_one_against_brute_force():
 def test_scanned_page(spark):
     clean = "The quarterly ledger mentions the committee and the witness. " * 300
     scan = "Case 1:13-cv-02912   Document 161   Filed 04/24/14\nThe quartcrly ledger mentions the commit-\n- 2 -\ntee and the witness.\n\nThe ledger · mentions the w1tness of 2O14 --\nand the committee."
-    scans = [(f"s{i}", 2, True, scan, None) for i in range(12)]
+    # pages of one document share their header and nothing else
+    other = ["Case 1:13-cv-02912   Document 161   Filed 04/24/14\nThe quarterly ledger mentions the committee " + c * 3 + ".\n\nNo witness of " + c * 4 + " · mentions the ledger" for c in "abcdefghijkl"]
+    scans = [(f"s{i}", f"d{i // 3}", 2, True, scan if i % 3 == 0 else other[i], None) for i in range(12)]
     # the scanner's habits must be seen in three words or more to be learned, and its marks be rare on clean pages
     habits = "\n".join(["The lcdger mcntions thc committcc and thc witncss.", "The quarterly ledgcr and the wítness ment1on the comm1ttee, which comm1ttees ment1ons."] * 2)
-    scans += [(f"h{i}", 1, True, habits, habits) for i in range(3)]
-    rows = [("c", 1, False, None, clean), *scans, ("n", 1, True, None, None), ("e", 1, True, "", None), scans[0]]
-    pages = spark.createDataFrame(rows, "id string, page_number int, ocr_used boolean, ocr_text string, final_text string")
-    found = {(r.line_no, r.kind) for r in scan_repair.find_noise(pages).where("page_id = 's0'").collect()}
+    scans += [(f"h{i}", None, 1, True, habits, habits) for i in range(3)]
+    rows = [("c", "x", 1, False, None, clean), *scans, ("n", "y", 1, True, None, None), ("e", "z", 1, True, "", None), ("o", "one", 2, True, scan, None), scans[0]]
+    pages = spark.createDataFrame(rows, "id string, document_id string, page_number int, ocr_used boolean, ocr_text string, final_text string")
+    noise = scan_repair.find_noise(pages).collect()
+    # a header that returns in other documents is known in one of a single page
+    assert (0, "header") in {(r.line_no, r.kind) for r in noise if r.page_id == "o"}
+    found = {(r.line_no, r.kind) for r in noise if r.page_id == "s0"}
     assert found == {(0, "header"), (1, "misread"), (1, "hyphen"), (2, "page_number"), (5, "misread")}
     text = {r.page_id: r.text for r in scan_repair.repair(pages).collect()}
     assert text["s0"] == "The quarterly ledger mentions the committee and the witness.\n\nThe ledger mentions the witness of 2014 -- and the committee." and text["n"] is None and text["e"] == ""
@@ -159,5 +164,4 @@ def test_scanned_page(spark):
 
 def test_page_numbers_and_headers():
     assert [scan_repair.page_number_of(x) for x in ("- 3 -", "[4]", "Page 2 of 9", "Pagc 2", "iv", "p. l", "$ 116", "2013.", "Exhibit 3")] == [3, 4, 2, 2, 4, 1, None, None, None]
-    lines = ["Acme Marine Ltd v. Borden Summit Freight Compan", "Acme Marine Ltd v. Borden Summit Freight Company —", "lengthy brochure, 2004-12-09, no. 88289", "Older postcard 38/18    1", "x"]
-    assert scan_repair.line_kinds(lines, 1) == ["header", "text", "text", "header", "text"]
+    assert scan_repair.line_kinds(["- 1 -", "", "Some text"], 1) == ["page_number", "blank", "text"]
