@@ -149,3 +149,82 @@ def semantic_edges(pairs: DataFrame, edges: DataFrame, least: float = 0.7) -> Da
     """(a, b, weight): ties of weight 1 between entities alike to ``least`` that aren't tied yet, in either direction; pairs: a, b, sim."""
     new = pairs.where((F.col("sim") >= least) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return new.join(edges.select("a", "b"), ["a", "b"], "left_anti").withColumn("weight", F.lit(1))
+
+
+def date_timeline(dates: DataFrame, mentions: DataFrame, entities: DataFrame, first: int = 200, names: int = 10) -> DataFrame:
+    """(day, documents, names) of dates (document_id, day): the ``first`` days in order, the documents that name each, and the first ``names`` entities mentioned there."""
+    days = dates.where("day is not null").select("day", "document_id").distinct()
+    top = days.select("day").distinct().orderBy("day").limit(first)
+    kept = days.join(F.broadcast(top), "day")  # at most ``first`` rows
+    n = kept.groupBy("day").agg(F.count("*").alias("documents"))
+    who = mentions.select("document_id", "entity_id").distinct().join(kept, "document_id").select("day", "entity_id").distinct().join(entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name")), "entity_id").select("day", "name").distinct()
+    some = rank_in(who, ["day"], ["name"], names).groupBy("day").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names"))
+    return n.join(some, "day", "left").fillna("", ["names"])
+
+
+def named_paths(paths: DataFrame, names: DataFrame) -> DataFrame:
+    """Broker paths (path, score) with the vertices' names (id, canonical_name) in place of their ids; unknown ids stay."""
+    parts = paths.select("path", "score", F.posexplode(F.split("path", " > ")).alias("at", "id")).join(names.select("id", "canonical_name"), "id", "left")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical_name", "id").alias("n")))), lambda x: x["n"]), " > ")
+    return parts.groupBy("path", "score").agg(joined.alias("names"))
+
+
+def model_claims(texts: DataFrame, ask, key: str = "id", text: str = "text", kinds: tuple[str, ...] = ("allegation", "denial", "observation", "statement")) -> DataFrame:
+    """(key, claim_text, claim_type, sentiment) from a caller's language model: ``ask`` gets a text and answers in JSON; unreadable answers and failures
+    give none, unknown types are observations, unknown sentiments neutral."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from docketeer.operators.reports import repair_json
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                try:
+                    found = repair_json(ask(t))
+                except Exception:  # noqa: BLE001 - a model that fails tells nothing
+                    found = []
+                for x in found:
+                    said = str(x.get("claim_text") or "").strip()
+                    if said:
+                        out.append((k, said, x.get("claim_type") if x.get("claim_type") in kinds else "observation", x.get("sentiment") if x.get("sentiment") in ("positive", "negative") else "neutral"))
+            yield pd.DataFrame(out, columns=["key", "claim_text", "claim_type", "sentiment"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
+    return rows.mapInPandas(run, f"key {kind}, claim_text string, claim_type string, sentiment string")
+
+
+def index_texts(texts: DataFrame, embed, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, no, chunk, vector): texts in overlapping windows, each with the vector of the caller's encoder, which gets a list of strings and gives a list of
+    vectors. Blank windows are skipped."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    kind = texts.schema[key].dataType.simpleString()
+    chunks = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(T.sentence_chunks(F.col(text))).alias("no", "chunk")).where("trim(chunk) <> ''")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["vector"] = [list(map(float, v)) for v in embed(list(batch["chunk"]))] if len(batch) else []
+            yield batch
+
+    return chunks.mapInPandas(run, f"key {kind}, no int, chunk string, vector array<double>")
+
+
+def briefing_sections(documents: DataFrame, entities: DataFrame, relationships: DataFrame, claims: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """What a written briefing has besides the top entities: counts, documents, the 30 heaviest relationships by name, clusters, the first 50 dated claims."""
+    from docketeer.operators.graph import components
+    from docketeer.operators.reports import status_counts, timeline
+
+    names = entities.select("id", "canonical_name")
+    top = edges.orderBy(F.desc("weight"), "a", "b").limit(30)
+    named = top.join(names.toDF("a", "name_a"), "a").join(names.toDF("b", "name_b"), "b").select("name_a", "name_b", "weight")
+    clusters = components(edges).groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return {
+        "counts": status_counts(documents=documents, entities=entities, relationships=relationships, claims=claims), "documents": documents.select("id", "filename", "source_tag", "created_at"),
+        "relationships": named, "clusters": clusters, "timeline": timeline(claims, 50),
+    }

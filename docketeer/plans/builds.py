@@ -146,3 +146,33 @@ def _vectors(spark, d):
 def location_ties(spark, d):
     near = G.both_ways(_edges(spark, d)).toDF("id", "other", "weight")
     return near.join(table(spark, d, "entities").where("entity_type = 'Location'").select("id"), "id", "left_semi")
+
+
+@query("""WITH f AS (SELECT DISTINCT id AS document_id, unnest(regexp_extract_all(text, '\\b((?:19|20)\\d{2}-\\d{2}-\\d{2})\\b', 1)) AS day FROM documents WHERE text IS NOT NULL), t AS (SELECT DISTINCT day FROM f ORDER BY day LIMIT 200), k AS (SELECT * FROM f JOIN t USING (day)),
+w AS (SELECT DISTINCT day, canonical_name AS n FROM k JOIN mentions USING (document_id) JOIN entities e ON e.id = entity_id), r AS (SELECT day, n, row_number() OVER (PARTITION BY day ORDER BY n) AS i FROM w)
+SELECT day, documents, coalesce(names, '') AS names FROM (SELECT day, count(*) AS documents FROM k GROUP BY 1) LEFT JOIN (SELECT day, string_agg(n, '; ' ORDER BY n) AS names FROM r WHERE i <= 10 GROUP BY 1) USING (day)""")
+def date_timeline(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    dates = docs.select(F.col("id").alias("document_id"), F.explode(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d{2}-\d{2}-\d{2})\b"), 1)).alias("day"))
+    return B.date_timeline(dates, table(spark, d, "mentions"), table(spark, d, "entities"))
+
+
+@query()
+def broker_path_names(spark, d):
+    e = _edges(spark, d)
+    top = G.degrees(e).orderBy(F.desc("degree"), "id").first()
+    return B.named_paths(G.broker_paths(e, top["id"] if top else "", 20), table(spark, d, "entities"))
+
+
+def _briefing(spark, d):
+    return B.briefing_sections(table(spark, d, "documents"), table(spark, d, "entities"), table(spark, d, "entity_relationships"), table(spark, d, "narrative_claims"), _edges(spark, d))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'relationships', count(*) FROM entity_relationships UNION ALL SELECT 'claims', count(*) FROM narrative_claims")
+def briefing_counts(spark, d):
+    return _briefing(spark, d)["counts"]
+
+
+@query(EDGES + "SELECT x.canonical_name AS name_a, y.canonical_name AS name_b, weight FROM (SELECT * FROM edges ORDER BY weight DESC, a, b LIMIT 30) JOIN entities x ON x.id = a JOIN entities y ON y.id = b")
+def briefing_relationships(spark, d):
+    return _briefing(spark, d)["relationships"]

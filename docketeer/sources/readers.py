@@ -83,6 +83,19 @@ def bundle_parts(documents: DataFrame, claims: DataFrame, entities: DataFrame, s
     return {"documents": docs, "claims": mine, "entities": entities.join(named, "id", "left_semi")}
 
 
+def bundle_threads(parts: dict[str, DataFrame], threads: DataFrame, nodes: DataFrame, edges: DataFrame, contradictions: DataFrame, brokers: DataFrame) -> dict[str, DataFrame]:
+    """The bundle's ``parts`` with what hangs on its claims: nodes (thread_id, claim_id) of its claims, their threads (thread_id), the edges (src, dst) and
+    contradictions (claim_a, claim_b) between its claims, and the brokers (actor) among its entities."""
+    ids = parts["claims"].select("id").distinct()
+    mine = nodes.join(ids.withColumnRenamed("id", "claim_id"), "claim_id", "left_semi")
+    return parts | {
+        "nodes": mine, "threads": threads.join(mine.select("thread_id").distinct(), "thread_id", "left_semi"),
+        "edges": edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"),
+        "contradictions": contradictions.join(ids.withColumnRenamed("id", "claim_a"), "claim_a", "left_semi").join(ids.withColumnRenamed("id", "claim_b"), "claim_b", "left_semi"),
+        "brokers": brokers.join(parts["entities"].select(F.col("id").alias("actor")), "actor", "left_semi"),
+    }
+
+
 def export_bundle(parts: dict[str, DataFrame], path: str, title: str = "", author: str = "", notes: str = "") -> str:
     """A zip of one JSON array for each part, with case.json, notes.json and a manifest; rows are streamed through the driver, never held."""
     counts = {}

@@ -100,3 +100,27 @@ def test_edges_of_merged_rows_leave(spark):
     rel = spark.createDataFrame([("1", "a", "b"), ("2", "b", "c"), ("3", "a", "c"), ("4", None, "c")], "id string, entity_a_id string, entity_b_id string")
     mapping = spark.createDataFrame([("b", "a"), ("a", "a")], "old string, new string")
     assert {r.id for r in R.drop_edges(rel, mapping).collect()} == {"3", "4"}
+
+
+def test_models_are_callables(spark):
+    texts = spark.createDataFrame([("1", "a b. c d."), ("2", None), ("3", "bad"), ("4", "")], "id string, text string")
+
+    def ask(t):
+        if t == "bad":
+            raise ValueError
+        return '[{"claim_text": "x", "claim_type": "odd"}]' if t else ""
+
+    assert [tuple(r) for r in B.model_claims(texts, ask).collect()] == [("1", "x", "observation", "neutral")]
+    assert {(r.key, r.no, tuple(r.vector)) for r in B.index_texts(texts, lambda xs: [[len(x)] for x in xs]).collect()} == {("1", 0, (9.0,)), ("3", 0, (3.0,))}
+
+
+def test_bundle_threads(spark):
+    from docketeer.sources import readers as S
+
+    claims = spark.createDataFrame([("c1",), ("c2",)], "id string")
+    parts = {"claims": claims, "entities": spark.createDataFrame([("e1",)], "id string")}
+    out = S.bundle_threads(
+        parts, spark.createDataFrame([("t1",), ("t2",)], "thread_id string"), spark.createDataFrame([("t1", "c1"), ("t2", "c9")], "thread_id string, claim_id string"),
+        spark.createDataFrame([("c1", "c2"), ("c1", "c9")], "src string, dst string"), spark.createDataFrame([("c2", "c1"), (None, "c1")], "claim_a string, claim_b string"), spark.createDataFrame([("e1",), ("e2",)], "actor string"),
+    )
+    assert {k: out[k].count() for k in ("nodes", "threads", "edges", "contradictions", "brokers")} == dict.fromkeys(("nodes", "threads", "edges", "contradictions", "brokers"), 1)
