@@ -1,10 +1,10 @@
 """Problem 6: personal data in free text, found and replaced by typed placeholders.
 
 Generators with high recall propose spans, which may overlap; boosted trees score them by their format and by the words
-around them; calibrated thresholds select. No text is labelled, so the trees are fitted by co-training on a bounded sample: the
+around them; calibrated thresholds select. No text is labelled, so the trees are fitted by co-training on the spans of all pages: the
 trees that judge the format of a span learn from labels that its context gives, and the trees that judge the context learn
 from spans whose format is beyond doubt, so that no tree sees in its features what its labels were made of. Which words
-announce which kind is counted in the sample. Names are labelled by the register of entities and by
+announce which kind is counted over all pages, and what the trees are fitted on are counts of equal feature rows, which Spark adds up. Names are labelled by the register of entities and by
 e-mail addresses made of them, as positive or unknown.
 """
 
@@ -13,19 +13,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.boosting import Boosted, fit
+from docketeer.llm.boosting import Boosted, fit_counts
 from docketeer.llm.name_links import LEGAL_FORMS, TITLES, fold, given_names, short_forms, trade_words
-from docketeer.runtime import map_arrow
+from docketeer.runtime import cut, map_arrow
 
-#: Pages, chosen by hash, on which the trees are fitted. Every text is searched all the same.
-SAMPLE_PAGES = 3_000
 #: Candidates after or before a word from which on the word's record counts as known.
 KNOWN_CUE = 5
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -195,19 +193,15 @@ class Cues:
 
     STEPS = (0.0, 0.01, 0.03, 0.1, 0.3)
 
-    def __init__(self, spans: list[Span], labels: list[int | None]):
-        every: Counter = Counter()
-        good: Counter = Counter()
-        for x, y in zip(spans, labels, strict=True):
-            for place, w in enumerate(x.around):
-                if w:
-                    every[place, w] += 1
-                    good[place, w] += y == 1
-        # only words met often enough to count: bounded by the sample
-        self.known = {k: sum(good[k] / n > step for step in self.STEPS) for k, n in every.items() if n >= KNOWN_CUE}
+    def __init__(self, known: dict[tuple[int, str], int]):
+        self.known = known
 
-    def of(self, x: Span) -> tuple:
-        return tuple(self.known.get((place, w), -1) for place, w in enumerate(x.around))
+    def of(self, around: Sequence[str]) -> tuple:
+        return tuple(self.known.get((place, w), -1) for place, w in enumerate(around))
+
+
+#: How often a feature row (format, cues) was met with label 0 and with 1: among the rows to fit on and among those held out.
+Counts = tuple[dict[tuple, list[int]], dict[tuple, list[int]]]
 
 
 class Judge:
@@ -217,12 +211,12 @@ class Judge:
         self.form, self.context, self.cues = form, context, cues
 
     def margin(self, x: Span, cut_off: bool) -> float:
-        out = _margin(self.form, x.form)
-        if cut_off:
-            return out
-        c = self.cues.of(x)
-        # what a word or two say weighs less than a format seen over the whole sample
-        return out + max(-3.0, min(3.0, _margin(self.context, c))) if max(c[:3]) >= 0 else out
+        return self.of_cues(x.form, None if cut_off else self.cues.of(x.around))
+
+    def of_cues(self, form: tuple, c: tuple | None) -> float:
+        out = _margin(self.form, form)
+        # what a word or two say weighs less than a format seen over the whole corpus
+        return out + max(-3.0, min(3.0, _margin(self.context, c))) if c is not None and max(c[:3]) >= 0 else out
 
 
 def _logit(p: float) -> float:
@@ -233,34 +227,51 @@ def _margin(model: Boosted, row: tuple) -> float:
     return _logit(model.score(row)) - _logit(model.threshold)
 
 
-def co_train(spans: list[Span]) -> Judge:
+def _regroup(counts: Counts, change: Callable[[tuple, list[int]], tuple[tuple, list[int]] | None]) -> Counts:
+    """The counts after each row and its two numbers were changed, equal rows added up."""
+    out: Counts = ({}, {})
+    for part, changed in zip(counts, out, strict=True):
+        for row, n in part.items():
+            new = change(row, n)
+            if new:
+                m = changed.setdefault(new[0], [0, 0])
+                m[0], m[1] = m[0] + new[1][0], m[1] + new[1][1]
+    return out
+
+
+def co_train(counts: Counts, cues: Cues) -> Judge:
     """Context trees from the sure formats, then format trees from what these say of each span's surroundings.
 
     The sure spans are positives, all others unknown: a telling context has sure ones among its spans, a wrong one has none. So a context is
     accepted from a fifth of what those of sure spans reach.
     """
-    cues = Cues(spans, [x.sure for x in spans])
-    rows = [cues.of(x) for x in spans]
-    sure = [int(x.sure == 1) for x in spans]
-    context = fit(rows, sure)
-    reached = [context.score(r) for r, y in zip(rows, sure, strict=True) if y]
-    context.threshold = sum(reached) / len(reached) / 5 if reached else 0.5
-    seen = [(x.form, int(context.accepts(r))) for r, x in zip(rows, spans, strict=True) if max(r[:3]) >= 0]
-    return Judge(fit([f for f, _ in seen], [y for _, y in seen]), context, cues)
+    contexts = _regroup(counts, lambda row, n: (row[1], n))
+    context = fit_counts(*contexts)
+    reached = [(context.score(c), n[1]) for part in contexts for c, n in part.items()]
+    sure = sum(n for _, n in reached)
+    context.threshold = sum(p * n for p, n in reached) / sure / 5 if sure else 0.5
+
+    def told(row: tuple, n: list[int]) -> tuple[tuple, list[int]] | None:
+        if max(row[1][:3]) < 0:
+            return None
+        return row[0], [0, sum(n)] if context.accepts(row[1]) else [sum(n), 0]
 
+    return Judge(fit_counts(*_regroup(counts, told)), context, cues)
 
-def from_register(spans: list[Span], registered: list[bool]) -> Judge:
+
+def from_register(counts: Counts, cues: Cues) -> Judge:
     """Positives and unknowns: trees on format and context together learn how likely a span is to be registered. Half of what registered
     ones of its shape reach is the threshold, as a name is missing in the register by chance and a span that is no name never is there."""
-    cues = Cues(spans, [int(r) for r in registered])
-    rows = [x.form + cues.of(x) for x in spans]
-    model = fit(rows, [int(r) for r in registered])
+    rows = _regroup(counts, lambda row, n: (row[0] + row[1], n))
+    model = fit_counts(*rows)
     reached: dict[int, list[float]] = {}
-    for row, r in zip(rows, registered, strict=True):
-        if r:
-            reached.setdefault(row[0], []).append(model.score(row))
-    every = [p for ps in reached.values() for p in ps]
-    return Whole(model, cues, {shape: sum(ps) / len(ps) / 2 for shape, ps in reached.items()}, sum(every) / len(every) / 2 if every else 0.5)
+    for part in rows:
+        for row, n in part.items():
+            if n[1]:
+                total = reached.setdefault(row[0], [0.0, 0])
+                total[0], total[1] = total[0] + n[1] * model.score(row), total[1] + n[1]
+    every = sum(n for _, n in reached.values())
+    return Whole(model, cues, {shape: p / n / 2 for shape, (p, n) in reached.items()}, sum(p for p, _ in reached.values()) / every / 2 if every else 0.5)
 
 
 class Whole(Judge):
@@ -268,7 +279,10 @@ class Whole(Judge):
         self.model, self.cues, self.thresholds, self.otherwise = model, cues, thresholds, otherwise
 
     def margin(self, x: Span, cut_off: bool) -> float:
-        return _logit(self.model.score(x.form + self.cues.of(x))) - _logit(self.thresholds.get(x.form[0], self.otherwise))
+        return self.of_cues(x.form, self.cues.of(x.around))
+
+    def of_cues(self, form: tuple, c: tuple) -> float:
+        return _logit(self.model.score(form + c)) - _logit(self.thresholds.get(form[0], self.otherwise))
 
 
 class Redactor:
@@ -311,16 +325,72 @@ class Redactor:
         return "".join(out) + text[at:]
 
 
-def _sampled(pages: DataFrame, sample: int) -> list[str]:
-    """About ``sample`` texts. The share comes from the count and a hash of the id picks the pages, so that only these go to the driver."""
-    n = pages.where("final_text is not null").count()
-    share = min(1.0, sample / max(n, 1))
-    picked = pages.where(F.col("final_text").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    return [r[1] for r in sorted(set(map(tuple, picked.select("id", "final_text").collect())))]
+def _proposed(pages: DataFrame, lex: Lexicon) -> DataFrame:
+    """The spans proposed in all pages (id, final_text), those of a page delivered twice once: where each stands, its format, the words around it,
+    the format of a number, a name as the register writes it, and whether an e-mail address in the same text is made of that name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(candidates(text, lex))
+                addresses = " ".join(fold(text[x.start : x.end]) for x in found if x.kind == "email")
+                for x in found:
+                    value = text[x.start : x.end]
+                    number = name = None
+                    addressed = False
+                    if x.kind == "person_name":
+                        name = _straight(value)
+                        if addresses:
+                            surname = fold(value.split(", ")[0].split()[-1])
+                            addressed = len(surname) > 3 and surname in addresses
+                    elif x.kind in ("phone", "id_number"):
+                        number = number_format(value)
+                    out.append((page, x.start, x.kind, x.form, x.around, x.sure == 1 or addressed, number, name))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], schema=kinds)
+
+    kinds = pa.schema([("page", pa.int64()), ("start", pa.int32()), ("kind", pa.string()), ("form", pa.list_(pa.int16())), ("around", pa.list_(pa.string())), ("good", pa.bool_()), ("number", pa.string()), ("name", pa.string())])
+    texts = pages.where("final_text is not null").select(F.xxhash64("id", "final_text"), "final_text")
+    return map_arrow(texts, run, "page bigint, start int, kind string, form array<smallint>, around array<string>, good boolean, number string, name string").distinct()
+
+
+def _learned_cues(spans: DataFrame) -> dict[str, Cues]:
+    """For each kind the words met often enough beside its spans, counted over all of them."""
+    words = spans.select("kind", "good", F.posexplode("around").alias("place", "word")).where("word <> ''")
+    words = words.groupBy("kind", "place", "word").agg(F.count("*").alias("n"), F.count_if("good").alias("good")).where(F.col("n") >= KNOWN_CUE)
+    step = sum((F.col("good") / F.col("n") > s).cast("int") for s in Cues.STEPS)
+    known: dict[str, dict] = {k: {} for k in KINDS}
+    for kind, place, word, at in words.select("kind", "place", "word", step).toLocalIterator():
+        known[kind][place, word] = at
+    return {k: Cues(c) for k, c in known.items()}
+
+
+def _feature_rows(spans: DataFrame, cues: dict[str, Cues]) -> list[tuple]:
+    """(kind, form, cues, number, held, good, n): how often each feature row is met, added up within each task first. Every third page is held out.
+    Formats and cues are small numbers, so the different rows are bounded by their values and not by the pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(seen: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*seen, strict=True), seen.values()], kinds, strict=True)], schema=kinds)
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for held, kind, form, around, good, number in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                seen[kind, tuple(form), cues[kind].of(around), number, held, good] += 1
+            if len(seen) > 300_000:
+                yield out(seen)
+                seen = Counter()
+        if seen:
+            yield out(seen)
+
+    kinds = pa.schema([("kind", pa.string()), ("form", pa.list_(pa.int16())), ("cues", pa.list_(pa.int16())), ("number", pa.string()), ("held", pa.bool_()), ("good", pa.bool_()), ("n", pa.int64())])
+    rows = map_arrow(spans.select((F.pmod("page", F.lit(3)) == 2).alias("held"), "kind", "form", "around", "good", "number"), run, "kind string, form array<smallint>, cues array<smallint>, number string, held boolean, good boolean, n bigint")
+    summed = rows.groupBy("kind", "form", "cues", "number", "held", "good").agg(F.sum("n").alias("n"))
+    return sorted((r[0], tuple(r[1]), tuple(r[2]), r[3] or "", r[4], r[5], r[6]) for r in summed.toLocalIterator())
 
 
-def train(pages: DataFrame, entities: DataFrame, extracted: DataFrame, mentions: DataFrame, sample: int = SAMPLE_PAGES) -> Redactor:
-    """Learn the words from all entities and fit the trees on ``sample`` pages (id, final_text).
+def train(pages: DataFrame, entities: DataFrame, extracted: DataFrame, mentions: DataFrame) -> Redactor:
+    """Learn the words from all entities and fit the trees on the spans of all pages (id, final_text).
 
     Without pages or entities, candidates of that kind are taken by format alone.
     """
@@ -329,38 +399,33 @@ def train(pages: DataFrame, entities: DataFrame, extracted: DataFrame, mentions:
     given = frozenset(g for g in set(counts) | set(short_forms(entities, extracted, mentions, counts)) if len(g) > 1)
     trade = frozenset(trade_words(entities.where("entity_type = 'Organization'").select(F.col("canonical_name").alias("name"))))
     lex = Lexicon(given, trade, _places(entities))
-    by_kind: dict[str, list[Span]] = {k: [] for k in KINDS}
-    values: dict[str, list[str]] = {k: [] for k in KINDS}
-    in_address: list[bool] = []
-    for text in _sampled(pages, sample):
-        found = list(candidates(text, lex))
-        addresses = " ".join(fold(text[x.start : x.end]) for x in found if x.kind == "email")
-        for x in found:
-            by_kind[x.kind].append(x)
-            values[x.kind].append(text[x.start : x.end])
-            if x.kind == "person_name":
-                surname = fold(text[x.start : x.end].split(", ")[0].split()[-1])
-                in_address.append(len(surname) > 3 and surname in addresses)
-    judges: dict[str, Judge] = {k: co_train(by_kind[k]) for k in KINDS if k != "person_name"}
-    formats = Counter(number_format(v) for k in ("phone", "id_number") for v, x in zip(values[k], by_kind[k], strict=True) if judges[k].margin(x, False) >= 0)
-    names = [_straight(v) for v in values["person_name"]]
+    # the texts are searched once for all that is learned
+    proposed = cut(_proposed(pages, lex))
     # a name is known from the register, or by an e-mail address in the same text that is made of it
-    known = [there or addressed for there, addressed in zip(_registered(entities, names), in_address, strict=True)]
-    judges["person_name"] = from_register(by_kind["person_name"], known)
+    names = proposed.where("kind = 'person_name'").join(_registered(entities), "name", "left").withColumn("good", F.col("good") | F.col("registered").isNotNull())
+    spans = proposed.where("kind <> 'person_name'").unionByName(names.drop("registered")).drop("name")
+    cues = _learned_cues(spans)
+    by_kind: dict[str, Counts] = {k: ({}, {}) for k in KINDS}
+    numbers: Counter = Counter()
+    for kind, form, c, number, held, good, n in _feature_rows(spans, cues):
+        by_kind[kind][held].setdefault((form, c), [0, 0])[good] += n
+        if number:
+            numbers[kind, form, c, number] += n
+    judges = {k: (from_register if k == "person_name" else co_train)(by_kind[k], cues[k]) for k in KINDS}
+    formats: Counter = Counter()
+    for (kind, form, c, number), n in numbers.items():
+        if judges[kind].of_cues(form, c) >= 0:
+            formats[number] += n
     lex.formats = frozenset(f for f, n in formats.items() if n >= 2)
     return Redactor(lex, judges)
 
 
-def _registered(entities: DataFrame, names: list[str]) -> list[bool]:
-    """Which of ``names`` are a registered person's, in full or with initials. The names come from the sampled pages, which bounds them."""
-    if not names:
-        return []
-    known = entities.where("entity_type = 'Person' and canonical_name is not null").select("canonical_name")
-    w = F.split("canonical_name", r"\s+")
-    short = known.where(F.size(w) == 2).select(F.concat(F.substring(w[0], 1, 1), F.lit(". "), w[1]).alias("canonical_name"))
-    forms = entities.sparkSession.createDataFrame(sorted(set(names)), "string").withColumnRenamed("value", "canonical_name")
-    there = {r[0] for r in known.unionByName(short).join(F.broadcast(forms), "canonical_name", "left_semi").distinct().collect()}
-    return [n in there for n in names]
+def _registered(entities: DataFrame) -> DataFrame:
+    """(name, registered): the names of registered persons, in full and with initials."""
+    known = entities.where("entity_type = 'Person' and canonical_name is not null").select(F.col("canonical_name").alias("name"))
+    w = F.split("name", r"\s+")
+    short = known.where(F.size(w) == 2).select(F.concat(F.substring(w[0], 1, 1), F.lit(". "), w[1]).alias("name"))
+    return known.unionByName(short).distinct().withColumn("registered", F.lit(True))
 
 
 def _straight(value: str) -> str:
