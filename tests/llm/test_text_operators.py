@@ -144,6 +144,37 @@ def test_subjects_flow_to_unlabelled_documents(spark):
     assert subjects.subjects(d, lab.limit(0)).count() == 0
 
 
+def test_few_labels_reach_all_similar_documents(spark):
+    law, sea = ["the merger review", "the cartel ledger", "entry barriers"], ["the river sediment", "the landfill liner", "solvent drums"]
+    docs = [(2 * i + s, " ".join(f"They spoke about {p} again." for p in topics) + " Nothing else was said by anyone there.") for i in range(80) for s, topics in enumerate((law, sea))]
+    labels = [(2 * i + s, name) for i in range(5) for s, name in enumerate(("law", "sea"))]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    assert {(r.doc_id, r.subject) for r in subjects.subjects(d, lab, least_z=2.0).collect()} == {(2 * i + s, name) for i in range(80) for s, name in enumerate(("law", "sea"))}
+
+
+def test_labels_over_all_ties_against_every_pair(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    places = {(x, i, rng.choice([1, 1, 1, 2, 3, 4, 5, 6])) for x in range(30) for i in range(rng.randrange(1, 6))} | {(99, 0, 1)}
+    label = {(x, rng.choice("ab")): rng.choice([0.5, 1.0]) for x in range(0, 30, 2)}
+    having = subjects.shared_phrases(spark.createDataFrame(sorted(places), "doc_id long, sentence int, phrase long"))
+    own = having.groupBy("doc_id").agg(F.sum(F.col("k") * F.col("walk")).alias("own"))
+    got = {(r.doc_id, r.subject): r.m for r in subjects.over_ties(having, own, spark.createDataFrame([(x, s, y) for (x, s), y in label.items()], "doc_id long, subject string, y double")).collect()}
+    k = {x: {p: sum(q == p for z, _, q in places if z == x) for p in {q for z, _, q in places if z == x}} for x in {z for z, _, _ in places}}
+    k = {x: ps for x, ps in k.items() if sum(ps.values()) > 1}
+    of = {p: sum(ps.get(p, 0) for ps in k.values()) for p in range(1, 7)}
+    want: dict = {}
+    for x in k:
+        for (y, s), v in label.items():
+            tie = sum(n * k[y].get(p, 0) / of[p] for p, n in k[x].items()) if y in k and y != x else 0
+            if tie:
+                want[x, s] = want.get((x, s), 0) + tie * v
+    assert 99 not in k and got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+
+
 def test_sentence_ends():
     assert len(subjects.sentences("As told by J. Smith v. Jones, no. 4. Then it\nended! “Really?” yes")) == 4
 
