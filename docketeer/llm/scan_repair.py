@@ -72,6 +72,16 @@ def _bare(line: str) -> str:
     return _NOT_LETTERS.sub("", line.lower())
 
 
+def _begins(line: str) -> str:
+    """The first nine letters; as a rule they stand in the first forty characters."""
+    bare = _bare(line[:40])
+    return (bare if len(bare) > 9 else _bare(line))[:9]
+
+
+def _digits(text: str) -> int:
+    return sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
+
+
 def _close(a: str, b: str) -> bool:
     return len(a) > 3 and sum(x == y for x, y in zip(a, b, strict=False)) >= len(a) - 2
 
@@ -83,21 +93,21 @@ def line_form(lines: list[str], filled: list[int], at: int) -> tuple | None:
     text = raw.strip()
     if not 5 <= len(text) <= 99 or text[0].islower():
         return None
-    body = _TRAILING_NO.sub("", raw.rstrip()).strip()
+    body = _TRAILING_NO.sub("", raw.rstrip()).strip() if "   " in raw else text
     words = body.split()
     if not words:
         return None
     after = lines[filled[at + 1]].strip() if at + 1 < len(filled) else ""
     third = lines[filled[at + 2]].strip() if at + 2 < len(filled) else ""
-    digits = sum(c.isdigit() for c in body)
+    digits = _digits(body)
     capitals = sum(w[0].isupper() or w[0].isdigit() for w in words)
-    follows = 0 if not after else 1 if after[0].islower() else 2 if _close(_bare(body)[:9], _bare(after)[:9]) else 3 if after[0].isalnum() else 4
+    follows = 0 if not after else 1 if after[0].islower() else 2 if _close(_begins(body), _begins(after)) else 3 if after[0].isalnum() else 4
     goes_on = (after + " " + third)[:90]
     return (
         min(at, 3), min(len(filled) - 1 - at, 3), min(len(body) // 4, 15), min(len(words), 9), 5 * capitals // len(words), min(digits // 2, 6), int(body != text),
-        1 if body[-1] in ".!?”" else 2 if body[-1] in ",;:—-" else 0, min(len(_GAP.findall(body)), 3), int(" v. " in body or " V. " in body), int("|" in body), int(" - " in body or " – " in body), int("/" in body),
+        1 if body[-1] in ".!?”" else 2 if body[-1] in ",;:—-" else 0, min(len(_GAP.findall(body)), 3) if "   " in body else 0, int(" v. " in body or " V. " in body), int("|" in body), int(" - " in body or " – " in body), int("/" in body),
         int(_LABEL.match(body) is not None), follows, int(i + 1 < len(lines) and not lines[i + 1].strip()), int(i > 0 and not lines[i - 1].strip()), int(body.upper() == body), int("—" in body), int("—" in goes_on),
-        int("@" in body or "<" in body), min(len(after) // 12, 6), min(sum(c.isdigit() for c in goes_on) // 2, 6),
+        int("@" in body or "<" in body), min(len(after) // 12, 6), min(_digits(goes_on) // 2, 6),
     )
 
 
@@ -260,27 +270,30 @@ def _follow(node: dict, rest: str) -> str | None:
 def within_one(root: dict, w: str) -> Iterator[tuple[str, str, str, int]]:
     """(candidate, its characters, the characters read instead, place): all words of the trie at distance one from ``w``.
 
-    The automaton has one exact path; at each of its states every error leads to an exact tail.
+    The automaton has one exact path; at each of its states every error leads to an exact tail, which is followed where its first character
+    (the mark of a word's end, where nothing is left) goes on.
     """
     node, n = root, len(w)
     for i in range(n + 1):
-        if i < n and (v := _follow(node, w[i + 1 :])):
-            yield v, "", w[i], i
+        same, rest, shorter = w[i:], w[i + 1 :], w[i + 2 :]
+        here, follows, later = same[:1], rest[:1], shorter[:1]
+        if i < n and follows in node and (v := _follow(node, rest)):
+            yield v, "", here, i
         for c, child in node.items():
             if not c:
                 continue
-            if v := _follow(child, w[i:]):
+            if here in child and (v := _follow(child, same)):
                 yield v, c, "", i
-            if i < n and c != w[i]:
-                if v := _follow(child, w[i + 1 :]):
-                    yield v, c, w[i], i
+            if i < n and c != here:
+                if follows in child and (v := _follow(child, rest)):
+                    yield v, c, here, i
                 for d, grand in child.items():
-                    if d and (v := _follow(grand, w[i + 1 :])):
-                        yield v, c + d, w[i], i
-            if i + 1 < n and (v := _follow(child, w[i + 2 :])):
+                    if d and follows in grand and (v := _follow(grand, rest)):
+                        yield v, c + d, here, i
+            if i + 1 < n and later in child and (v := _follow(child, shorter)):
                 yield v, c, w[i : i + 2], i
         if i < n:
-            node = node.get(w[i])
+            node = node.get(here)
             if node is None:
                 return
 
@@ -493,7 +506,7 @@ def _scan(pages: DataFrame, counts: DataFrame, headers: Headers) -> DataFrame:
                 for i, kind in enumerate(kinds):
                     if kind in ("header", "page_number"):
                         out.append((page, i, i, 0, None, kind))
-                    elif kind == "text" and ((inserted and inserted.search(lines[i])) or _SYMBOL.search(lines[i])):
+                    elif kind == "text" and ((inserted and inserted.search(lines[i])) or (("|" in lines[i] or "@" in lines[i]) and _SYMBOL.search(lines[i]))):
                         out.append((page, i, i, 0, None, "misread"))
                 out += [(page, i, i, 0, None, "hyphen") for i in broken]
                 for i, j, before, word in words_in(lines, kinds, broken):

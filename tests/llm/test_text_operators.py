@@ -197,6 +197,17 @@ def test_within_one_against_brute_force():
         assert {v for v, *_ in scan_repair.within_one(trie, w)} - {w} == reach(w), w
 
 
+def test_no_tail_is_followed_in_vain_from_its_start(monkeypatch):
+    trie, follow, wasted = scan_repair.build_trie(["arm", "barn", "burn", "bum", "turn", "tum", "modern", "modem", "could", "cold"]), scan_repair._follow, []
+    monkeypatch.setattr(scan_repair, "_follow", lambda node, rest: (wasted.append(rest) if rest[:1] not in node else None) or follow(node, rest))
+    assert {v for v, *_ in scan_repair.within_one(trie, "colcl")} == {"cold"} and not wasted
+
+
+def test_digits_and_first_letters_of_lines():
+    for line in ("", "Filed 04/24/14", "Ärzte ² gegen ٣ – 4", "1:13-cv-02912 - 2013 - 2014 - 04/24/14 - 05/25/15 of the Records", "12 · 13"):
+        assert scan_repair._digits(line) == sum(c.isdigit() for c in line) and scan_repair._begins(line) == scan_repair._bare(line)[:9]
+
+
 def test_scanned_page(spark):
     clean = "The quarterly ledger mentions the committee and the witness. " * 300
     scan = "Case 1:13-cv-02912   Document 161   Filed 04/24/14\nThe quartcrly ledger mentions the commit-\n- 2 -\ntee and the witness.\n\nThe ledger · mentions the w1tness of 2O14 --\nand the committee."
