@@ -75,6 +75,18 @@ def test_lineage_ties_copies(spark):
     assert got == {("c1", "c2"): "repeats", ("c1", "c3"): "repeats"}
 
 
+def test_lineage_broadcasts_no_table(spark):
+    t = "the witness said that the ledger was hidden in the archive of the harbour office until the following spring"
+    c = spark.createDataFrame([(f"c{i}", f"d{i}", 1, "x", t if i % 2 else t.replace("spring", "summer")) for i in range(8)], "id string, document_id string, page_number int, claim_type string, claim_text string")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    found = N.claim_lineage(c)
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.src, r.dst) for r in found.collect()}
+    ran = found._jdf.queryExecution().executedPlan().toString()
+    assert got == {("c0", "c1"), *((f"c{i % 2}", f"c{i}") for i in range(2, 8))}
+    assert "SortMergeJoin" in planned and "Broadcast" not in planned + ran
+
+
 def test_content_duplicates_and_annotations(spark):
     d = spark.createDataFrame([(1, "a", datetime(2020, 1, 2)), (2, "a", datetime(2020, 1, 1)), (3, None, datetime(2020, 1, 1))], "doc_id long, text string, created_at timestamp")
     assert {(r.doc_id, r.first_doc_id) for r in O.content_duplicates(d, ["created_at", "doc_id"]).collect()} == {(1, 2), (2, 2)}
